@@ -67,3 +67,50 @@ def slices(strings: list[str], limit: int = 600_000) -> Iterator[tuple[int, int]
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+#: Blocks of the filter in maybe_in: 64 bits each, fixed, so that what is broadcast stays under some 40 MB at any size.
+FILTER_BLOCKS = 1 << 19
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose column is among keys (one column), and few others: a Bloom semi-join without a shuffle of df.
+
+    The filter has a fixed greatest size. With very many keys it lets more rows pass, and never drops one that belongs.
+    """
+    key = keys.columns[0]
+    blocks = max(1, min(FILTER_BLOCKS, keys.count() // 4))
+
+    def parts(c) -> tuple:
+        h = F.xxhash64(F.lit(11), c)
+        mask = F.lit(0).cast("long")
+        for i in range(3):
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
+        return F.pmod(F.xxhash64(F.lit(12), c), F.lit(blocks)), mask
+
+    block, mask = parts(F.col(key))
+    bloom = keys.select(block.alias("_block"), mask.alias("_mask")).groupBy("_block").agg(F.bit_or("_mask").alias("_bits"))
+    block, mask = parts(F.col(column))
+    return df.withColumn("_block", block).join(F.broadcast(bloom), "_block").where(F.col("_bits").bitwiseAND(mask) == mask).drop("_block", "_bits")
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (its smallest node) of the nodes of edges (a, b), by alternating large and small stars.
+
+    Every round is a written table, so that lineage stays short and lost executors cost one round.
+    """
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    for _ in range(rounds):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(small_least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v")))
+        new = written(small.distinct())
+        if not new.exceptAll(e).limit(1).count() and not e.exceptAll(new).limit(1).count():
+            break
+        e = new
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import copies as _copies
+from . import mixing as _mixing
+from . import near as _near
+from . import packing as _packing
+from . import splitting as _splitting
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +25,60 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return _copies.records(table(spark, d, "documents"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near.pairs(table(spark, d, "documents"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near.groups(table(spark, d, "documents"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _splitting.split(table(spark, d, "documents")).where("piece_no = 0").select("doc_id", "boundary")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _splitting.split(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packing.oversized(_packing.pack(table(spark, d, "documents"), table(spark, d, "pack_plans")))
+
+
+def p7_contents(spark: SparkSession, d: str) -> DataFrame:
+    return _packing.pack(table(spark, d, "documents"), table(spark, d, "pack_plans"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    plans = table(spark, d, "pack_plans")
+    return _packing.containers(_packing.pack(table(spark, d, "documents"), plans), plans)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1].where(~F.col("reached")).select("recipe_id", "source")
+
+
+def p8_uses(spark: SparkSession, d: str) -> DataFrame:
+    return _mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+#: Written independently of the operators: plain arithmetic on whole tables.
+_SQL = {
+    "p7_found": """SELECT DISTINCT p.plan_id, d.doc_id FROM documents d, pack_plans p
+        WHERE d.text IS NOT NULL AND strlen(d.text) + 1 > p.capacity_tokens""",
+    "p8_found": """WITH s AS (SELECT source, sum(strlen(text) + 1) AS tokens FROM documents WHERE text IS NOT NULL GROUP BY source)
+        SELECT DISTINCT t.recipe_id, t.source FROM mix_targets t LEFT JOIN s ON s.source = t.source
+        WHERE t.max_repeats * coalesce(s.tokens, 0) < t.target_share * t.total_tokens""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
