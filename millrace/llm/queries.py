@@ -10,13 +10,31 @@ from pyspark.sql import functions as F
 from . import copies as _copies
 from . import mixing as _mixing
 from . import near as _near
+from . import overlap as _overlap
 from . import packing as _packing
 from . import splitting as _splitting
+from . import subjects as _subjects
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap.overlaps(table(spark, d, "documents"), table(spark, d, "split_rows"), table(spark, d, "manifests"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap.pairs(_overlaps(spark, d))
+
+
+def p2_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d)
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap.report(_overlaps(spark, d), table(spark, d, "documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _copies.copies(table(spark, d, "documents"))
 
@@ -66,6 +84,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return _subjects.assign(documents, _subjects.fit(documents, table(spark, d, "subject_labels"), table(spark, d, "subject_areas")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects.subjects(_assigned(spark, d))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects.composition(_assigned(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

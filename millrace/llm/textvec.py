@@ -115,3 +115,34 @@ def distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def signed(x: np.ndarray) -> np.ndarray:
     """As Spark's bigint holds it."""
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def _marks(chars: str) -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[ord(x) for x in chars]] = True
+    return table
+
+
+@functools.cache
+def _sentence_marks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    space = np.fromiter((chr(i).isspace() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _marks(".!?…。！？"), space, _marks("”“\"»«’')]*_")
+
+
+def sentence_starts(c: np.ndarray) -> np.ndarray:
+    """By code point: does a sentence begin behind it (an end mark and closing quotes before white space, or a line's end)."""
+    ends, space, close = _sentence_marks()
+    e, s, q = ends[c], space[c], close[c]
+    out = np.zeros(len(c), bool)
+    out[:-1] = e[:-1] & s[1:]
+    out[:-2] |= e[:-2] & q[1:-1] & s[2:]
+    out[:-3] |= e[:-3] & q[1:-2] & q[2:-1] & s[3:]
+    return out | (c == 10) | (c == 13) | (c == 0x2028)
+
+
+def sentences(w: Words) -> np.ndarray:
+    """The number of the sentence of each word, counted on from text to text; numbers of sentences without words are left out."""
+    if not len(w.hash):
+        return np.zeros(0, np.int64)
+    till = np.cumsum(sentence_starts(w.codes))[w.start]
+    return np.concatenate(([0], np.cumsum((till[1:] != till[:-1]) | (w.doc[1:] != w.doc[:-1]))))
