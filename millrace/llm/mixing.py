@@ -46,7 +46,7 @@ def leaf(seed: int, quotas: np.ndarray, shards: int, shard: int) -> tuple[np.nda
 def plan(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sized, wanted): documents with tokens and block; and for each recipe and source what is wanted and there.
 
-    wanted: recipe_id, source, target_share, max_repeats, total_tokens, need, have (tokens of one pass), blocks, reached.
+    wanted: recipe_id, source, target_share, max_repeats, total_tokens, need, have (tokens of one pass), blocks.
     """
     targets = targets.select("recipe_id", "source", "target_share", "max_repeats", "total_tokens").where("recipe_id is not null and source is not null and target_share is not null and total_tokens is not null").dropDuplicates(["recipe_id", "source"])
     sources = targets.select("source").distinct()
@@ -56,8 +56,7 @@ def plan(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame
     stats = stats.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / BLOCK_DOCUMENTS)).cast("long"))
     wanted = targets.join(stats, "source", "left").fillna({"have": 0, "n": 0, "blocks": 0})
     wanted = wanted.withColumn("need", F.col("target_share") * F.col("total_tokens")).withColumn("max_repeats", F.greatest(F.lit(0), F.coalesce("max_repeats", F.lit(1))))
-    wanted = written(wanted.withColumn("reached", F.col("max_repeats") * F.col("have") >= F.col("need")))
-    return sized, wanted
+    return sized, written(wanted)
 
 
 def uses(sized: DataFrame, wanted: DataFrame, seed: int = SEED, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -111,11 +110,16 @@ def uses(sized: DataFrame, wanted: DataFrame, seed: int = SEED, shard_tokens: in
 
 
 def shares(chosen: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each recipe and source: target and actual share and tokens, uses, the most uses of one document, reached."""
+    """For each recipe and source: target and actual share and tokens, uses, the most uses of one document, reached.
+
+    A source isn't reached if the uses chosen have spent all its documents as often as they may be used, and still miss
+    the target.
+    """
     per = chosen.groupBy("recipe_id", "source", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).groupBy("recipe_id", "source").agg(F.sum("t").alias("tokens"), F.sum("n").alias("uses"), F.max("n").alias("most_uses"))
     all_of = per.groupBy("recipe_id").agg(F.sum("tokens").alias("recipe_tokens"))
     out = wanted.join(per, ["recipe_id", "source"], "left").join(all_of, "recipe_id", "left").fillna({"tokens": 0, "uses": 0, "most_uses": 0})
-    return out.select("recipe_id", "source", "target_share", (F.col("tokens") / F.col("recipe_tokens")).alias("actual_share"), F.col("need").alias("target_tokens"), "tokens", "uses", "most_uses", "max_repeats", "reached")
+    spent = F.col("tokens") >= F.col("max_repeats") * F.col("have")
+    return out.select("recipe_id", "source", "target_share", (F.col("tokens") / F.col("recipe_tokens")).alias("actual_share"), F.col("need").alias("target_tokens"), "tokens", "uses", "most_uses", "max_repeats", (~(spent & (F.col("tokens") < F.col("need")))).alias("reached"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
