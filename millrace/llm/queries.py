@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import copies as _copies
+from . import encoding as _encoding
+from . import language as _language
 from . import mixing as _mixing
 from . import near as _near
 from . import overlap as _overlap
@@ -19,6 +21,19 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return _language.stretches(documents, _language.fit(documents))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _language.mislabelled(_stretches(spark, d))
+
+
+def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(spark, d)
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     return _overlap.overlaps(table(spark, d, "documents"), table(spark, d, "split_rows"), table(spark, d, "manifests"))
 
@@ -35,6 +50,14 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _overlap.report(_overlaps(spark, d), table(spark, d, "documents"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _encoding.repaired(table(spark, d, "documents")).select("doc_id", "restored_md5")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _encoding.repaired(table(spark, d, "documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _copies.copies(table(spark, d, "documents"))
 
