@@ -9,6 +9,7 @@ document's sentences, with a price for every change of language, gives its stret
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as V
 from .common import maybe_in, slices, texts, written
+from .encoding import _decode, _encode
 from .langcodes import _BY_NAME, CODES
 
 #: Sampled documents of each language, those with the least hash of doc_id.
@@ -29,6 +31,8 @@ LENGTHS, PLACES = (1, 2, 3, 4), 1500
 MOST = 600
 #: Price of a change of language between sentences, in n-grams that are as far out of place as can be.
 CHANGE = 4.0
+#: Characters worked on at once: what fits in the processor's cache.
+SLICE = 150_000
 #: Sentences of up to so many words, all capitalised, are names.
 FEW = 4
 #: A sentence of whose n-grams a smaller share is in any profile is also read under other decodings.
@@ -55,6 +59,11 @@ def grams(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     c, at = V.codes(lower)
     written_c = V.codes(strings)[0]
     letter = _letters()[c]
+    digit = np.flatnonzero(V.alnum()[c] & ~letter)
+    if len(digit):  # codes and numbers with letters are no words
+        start, end = V.spans(V.alnum()[c])
+        for k in np.unique(np.searchsorted(start, digit, "right") - 1):
+            letter[start[k] : end[k]] = False
     sent = np.cumsum(V.sentence_starts(c))
     sent -= V.sentence_starts(c)  # the end mark belongs to its own sentence
     doc = np.repeat(np.arange(len(strings)), np.diff(at))
@@ -105,7 +114,7 @@ class Profiles:
     """By n-gram that any profile has (in the order of their hashes): its hash, and its place in each language's profile."""
 
     hashes: np.ndarray
-    places: np.ndarray  # int32; PLACES where the profile lacks it
+    places: np.ndarray  # float32, in parts of PLACES; far beyond 1 where the profile lacks it
 
     def __post_init__(self) -> None:
         self.table = np.full(TABLE, -1, np.int32)  # where a hash is looked up at once; those in its way are searched for
@@ -139,10 +148,13 @@ class Profiles:
         s, g = order >> 40, order & 0xFFFFFF
         start = np.flatnonzero(np.diff(s, prepend=-1))
         rank = np.arange(len(s)) - np.repeat(start, np.diff(start, append=len(s)))
-        top = rank < MOST
-        s, g, rank = s[top], g[top], rank[top]
-        place = self.places[g]
-        cost = np.where(place < PLACES, np.minimum(np.abs(place - rank[:, None]), PLACES), PLACES).astype(np.float32) / PLACES
+        if rank.max(initial=0) >= MOST:
+            top = rank < MOST
+            s, g, rank = s[top], g[top], rank[top]
+        cost = self.places[g]
+        cost -= (rank / PLACES).astype(np.float32)[:, None]
+        np.abs(cost, out=cost)
+        np.minimum(cost, 1.0, out=cost)
         out = np.zeros((n_sent, len(CODES)), np.float32)
         start = np.flatnonzero(np.diff(s, prepend=-1))
         if len(start):
@@ -179,9 +191,9 @@ def profiles(strings: list[str], langs: list[int]) -> Profiles:
             n = np.bincount(inv, np.concatenate([p[1] for p in parts[k]]))
             tops.append(u[np.lexsort((u, -n))][:PLACES])
         hashes = np.unique(np.concatenate(tops))
-        places = np.full((max(1, len(hashes)), len(CODES)), PLACES, np.int32)
+        places = np.full((max(1, len(hashes)), len(CODES)), 1e6, np.float32)
         for k, t in enumerate(tops):
-            places[np.searchsorted(hashes, t), k] = np.arange(len(t))
+            places[np.searchsorted(hashes, t), k] = np.arange(len(t)) / PLACES
         found = Profiles(hashes if len(hashes) else np.zeros(1, np.uint64), places)
     return found
 
@@ -206,20 +218,26 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Profiles:
     return profiles(strings, codes)
 
 
+_MARKS = re.compile(r"(?<=\w)[^\w\s\x00-\x7f“”„‘’«»‹›–—…¿¡°•·­]{1,4}(?=\w)|[\x80-\x9f]")
+
+
+def _odd(joined: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """By sentence: has it a character that is neither a letter nor an ordinary mark within a word, as garbled text has."""
+    if joined.isascii():
+        return np.zeros(len(spans), bool)
+    at = np.array([m.start() for m in _MARKS.finditer(joined)], np.int64)
+    start, end = np.array(spans).T
+    return np.searchsorted(at, end) > np.searchsorted(at, start)
+
+
 def reread(text: str) -> list[str]:
     """What a garbled text may have been."""
     out = []
     for was, read in DECODINGS:
         try:
-            out.append(text.encode(read).decode(was))
+            out.append(_decode(_encode(text, read), was))
         except UnicodeError:
-            b = bytearray()
-            try:  # code pages with holes were read as Latin-1 there
-                for ch in text:
-                    b += ch.encode(read, "ignore") or ch.encode("latin-1")
-                out.append(b.decode(was))
-            except UnicodeError:
-                pass
+            pass
     return out
 
 
@@ -246,9 +264,9 @@ def classify(strings: list[str], p: Profiles, change: float = CHANGE) -> tuple[n
     if not len(doc):
         return doc, doc, np.zeros((0, len(CODES)))
     cost, share = p.distances(h, sent, len(doc))
-    odd = np.flatnonzero(share < STRANGE)
+    joined = "\n".join(s.lower() for s in strings)
+    odd = np.flatnonzero((share < STRANGE) | _odd(joined, spans))
     if len(odd):
-        joined = "\n".join(s.lower() for s in strings)
         case = joined if len(joined) != sum(map(len, strings)) + len(strings) - 1 else "\n".join(strings)  # as written, where lower case has its length
         for i in odd:
             s = case[spans[i][0] : spans[i][1]]
@@ -267,7 +285,7 @@ def classify(strings: list[str], p: Profiles, change: float = CHANGE) -> tuple[n
             good = np.zeros(len(options))
             np.add.at(good, gd, sh)
             best = int((good / np.maximum(1, n)).argmax())
-            if good[best] / max(1, n[best]) > max(STRANGE, share[i] + 0.1):
+            if good[best] / max(1, n[best]) > max(STRANGE, share[i] + 0.02) and (share[i] < STRANGE or per[best].min() < cost[i].min()):
                 cost[i] = per[best]
     # names make no stretch: they go with their neighbours, unless the document has nothing else
     rest = np.bincount(doc, ~names_only, minlength=len(strings))[doc] > 0
@@ -303,7 +321,7 @@ def stretches(documents: DataFrame, p: Profiles, change: float = CHANGE) -> Data
         names = pa.array(CODES)
         for b in batches:
             ids, strings, named = b.column(0), b.column(1).to_pylist(), b.column(2)
-            for lo, hi in slices(strings):
+            for lo, hi in slices(strings, SLICE):
                 doc, lang, cost = classify(strings[lo:hi], sent.value, change)
                 if not len(doc):
                     continue
