@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import formats, text
-from .operators import chat, chunks, prefix, profile, rules, runlog, sampling, split
+from .operators import chat, chunks, prefix, profile, rules, runlog, sampling, split, tokens
 from .plans import planning
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -515,5 +515,32 @@ def fmt_units(s, d):
     return o.select("o_orderkey", formats.count(F.col("n")).alias("count"), formats.size(F.col("n")).alias("size"), formats.duration(F.col("n") % 400_000).alias("duration"))
 
 
+# --- byte-level tokens of a public vocabulary
+
+
+@_query
+def pretokens_top(s, d):
+    return tokens.pretokens(_docs(s, d)).orderBy(F.desc("n"), "token").limit(100)
+
+
+@_query
+def bpe_encode_counts(s, d):
+    return tokens.compression(_docs(s, d))
+
+
+@_query
+def bpe_roundtrip(s, d):
+    return tokens.broken_round_trips(_docs(s, d))
+
+
+@_query
+def bpe_mask(s, d):
+    """Tokens of conversations that touch a trained span, and those on both sides of an edge of one."""
+    t = _docs(s, d).where("text is not null and size(trained_spans) > 0").select("doc_id", "trained_spans", tokens.offsets_encoder()("text").alias("e"))
+    each = t.select("doc_id", "trained_spans", F.explode(F.arrays_zip("e.lo", "e.hi")).alias("o")).select("doc_id", "trained_spans", F.col("o.lo").alias("lo"), F.col("o.hi").alias("hi"))
+    inside = F.exists("trained_spans", lambda x: (each["hi"] > x["span_start"]) & (each["lo"] < x["span_end"]))
+    return each.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(inside).alias("trained"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)

