@@ -223,3 +223,8 @@ _WORDS = f"""a AS (SELECT doc_id, trained_spans, unnest(regexp_extract_all(text,
     b AS (SELECT doc_id, trained_spans, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS hi, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(regexp_replace(piece, '^{SPACE}+', '')))::BIGINT AS lo FROM a)"""
 for _k in ("mask_overlap", "straddling"):
     SQL[_k] = SQL[_k].replace("{0}", _WORDS)
+#: Columns that are 32 bits wide there and 64 here.
+_NARROW = {"script_shares": "rank", "row_regularity": "found", "emitted_ordinals": "kept_ordinal", "doc_chunks": "n_chars", "chat_spans": "n span_start span_end", "stop_strings": "at", "offset_lookup": "tenth", "softmax": "token_id", "sample_topk": "token_id", "sample_topp": "least most", "greedy_argmax": "token_id", "repetition_penalty": "token_id"}
+for _k, _columns in _NARROW.items():
+    SQL[_k] = f"SELECT * REPLACE ({', '.join(f'"{c}"::INTEGER AS "{c}"' for c in _columns.split())}) FROM ({SQL[_k]})"
+SQL["recommended_rates"] = f"SELECT name, lr::DOUBLE AS lr FROM ({SQL['recommended_rates']})"
