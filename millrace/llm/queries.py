@@ -125,7 +125,12 @@ def queries() -> dict[str, Query]:
 
 
 #: Written independently of the operators: plain arithmetic on whole tables.
+_BLANK = r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+[^\S\r\n]*"
 _SQL = {
+    "p6_found": f"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '{_BLANK}', chr(1), 'g') AS p FROM documents WHERE strlen(text) > 8192),
+        e AS (SELECT doc_id, string_split(p, chr(1)) AS a, string_split(regexp_replace(p, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS b, regexp_split_to_array(p, '[\\s' || chr(1) || ']+') AS c FROM d)
+        SELECT doc_id, CASE WHEN list_max(list_transform(a, lambda x: strlen(x))) <= 8192 THEN 'paragraph' WHEN list_max(list_transform(b, lambda x: strlen(x))) <= 8192 THEN 'sentence'
+        WHEN list_max(list_transform(c, lambda x: strlen(x))) <= 8192 THEN 'word' ELSE 'none' END AS boundary FROM e""",
     "p7_found": """SELECT DISTINCT p.plan_id, d.doc_id FROM documents d, pack_plans p
         WHERE d.text IS NOT NULL AND strlen(d.text) + 1 > p.capacity_tokens""",
     "p8_found": """WITH s AS (SELECT source, sum(strlen(text) + 1) AS tokens FROM documents WHERE text IS NOT NULL GROUP BY source)
