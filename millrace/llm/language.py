@@ -26,7 +26,7 @@ from .langcodes import _BY_NAME, CODES
 #: Sampled documents of each language, those with the least hash of doc_id.
 SAMPLE = 300
 #: Lengths of n-grams, with a mark at either end of a word; places of a profile.
-LENGTHS, PLACES = (1, 2, 3, 4), 1500
+LENGTHS, PLACES = (2, 3, 4), 1500
 #: Most frequent n-grams of a sentence that are compared.
 MOST = 600
 #: Price of a change of language between sentences, in n-grams that are as far out of place as can be.
