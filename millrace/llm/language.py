@@ -285,7 +285,7 @@ def classify(strings: list[str], p: Profiles, change: float = CHANGE) -> tuple[n
             good = np.zeros(len(options))
             np.add.at(good, gd, sh)
             best = int((good / np.maximum(1, n)).argmax())
-            if good[best] / max(1, n[best]) > max(STRANGE, share[i] + 0.02) and (share[i] < STRANGE or per[best].min() < cost[i].min()):
+            if good[best] / max(1, n[best]) > share[i] + (0.1 if share[i] < STRANGE else 0.02) and (share[i] < STRANGE or per[best].min() < cost[i].min()):
                 cost[i] = per[best]
     # names make no stretch: they go with their neighbours, unless the document has nothing else
     rest = np.bincount(doc, ~names_only, minlength=len(strings))[doc] > 0
