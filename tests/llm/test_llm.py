@@ -119,6 +119,31 @@ def test_near_duplicates_against_brute_force(spark, variants):
     assert {tuple(r) for r in near.pairs(d).collect()} == want and len(want) > 100
 
 
+def hot(rng, copies=160, bases=14, others=320):
+    """A text that holds a third of the rows with its copies, its variants edited all over, and unlike texts."""
+    words = sentence(rng, 160)[:-1].lower().split()
+    out = [" ".join(words)] * copies
+    for k in range(bases):
+        w = list(words)
+        for i in range(k, len(w), 12 + k % 5):
+            w[i] = sentence(rng, 1)[:-1].lower() + "q"
+        out.append(" ".join(w))
+    return out + [sentence(rng, 40) for _ in range(others)]
+
+
+def test_variants_of_a_text_with_many_copies(spark):
+    texts = hot(random.Random(2))
+    edits = range(160, 174)
+    want = {(i, j) for j in edits for i in range(160) if jaccard(texts[0], texts[j]) >= near.SIMILARITY} | {(i, j) for i in edits for j in edits if i < j and jaccard(texts[i], texts[j]) >= near.SIMILARITY}
+    assert {tuple(r) for r in near.pairs(docs(spark, texts)).collect()} == want and len(want) > 1_000
+
+
+def test_plain_samples_estimate_plain_similarity():
+    h = np.sort(np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64))
+    x, y = (near.plain_samples(s, np.array([0]))[0] for s in (h[:3000], h[1000:]))
+    assert abs((x == y).mean() - 0.5) < 0.2
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert near.pairs(odd).count() == 0 and near.pairs(none).count() == 0 and near.groups(none).count() == 0
     g = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.groups(odd).collect()}
