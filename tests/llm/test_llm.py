@@ -174,6 +174,20 @@ def test_overlaps_against_brute_force(spark, variants):
     assert overlap.report(found, d).agg({"n_pairs": "sum"}).first()[0] == 2 * len(want)
 
 
+def across(spark, texts, val):
+    """The pairs found and those of brute force: texts in val, the others in train."""
+    s = spark.createDataFrame([("h", i, 0.05 if i in val else 0.5) for i in range(len(texts))], "content_hash string, doc_id long, fraction double")
+    found = overlap.pairs(overlap.overlaps(docs(spark, texts), s, spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double")))
+    plain = ["".join(WORD.findall(t.lower())) for t in texts]
+    want = {("h", min(i, j), max(i, j)) for i in val for j in set(range(len(texts))) - val if plain[i] == plain[j] or jaccard(texts[i], texts[j]) >= overlap.SIMILARITY}
+    return {tuple(r) for r in found.collect()}, want
+
+
+def test_overlaps_of_a_text_with_many_copies(spark):
+    found, want = across(spark, hot(random.Random(2), 100, 14, 60), set(range(100, 110)))
+    assert found == want and len(want) == 900
+
+
 def test_overlaps_of_odd_rows(spark, odd, none):
     s = spark.createDataFrame([("h", i, 0.05 if i % 2 else 0.5) for i in range(10)] + [("h", None, 0.1), (None, 3, 0.2)], "content_hash string, doc_id long, fraction double")
     m = spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double")
