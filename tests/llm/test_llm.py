@@ -188,6 +188,16 @@ def test_overlaps_of_a_text_with_many_copies(spark):
     assert found == want and len(want) == 900
 
 
+def test_overlaps_of_texts_that_repeat_themselves(spark):
+    rng = random.Random(6)
+    texts = []
+    for words, times in ((5, 10), (10, 25), (10, 60), (4, 40)):
+        line = sentence(rng, words)[:-1].lower()
+        texts += [f"{line} " * times, f"{line} " * times + sentence(rng, 2)[:-1].lower(), f"{line} " * (times - 1)]
+    found, want = across(spark, texts, {0, 3, 6, 9})
+    assert found == want and len(want) == 8
+
+
 def test_overlaps_of_odd_rows(spark, odd, none):
     s = spark.createDataFrame([("h", i, 0.05 if i % 2 else 0.5) for i in range(10)] + [("h", None, 0.1), (None, 3, 0.2)], "content_hash string, doc_id long, fraction double")
     m = spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double")
