@@ -2,7 +2,8 @@
 
 A noisy channel: text was written in one encoding and read in another, perhaps twice, perhaps with bytes lost. Every
 frequent word of the corpus is sent through every channel; where a much rarer word of the corpus is what comes out, the
-documents that have it are suspects. In a suspect's text every channel for which there is evidence spans a lattice: its
+documents that have it are suspects. So are those with a token, however frequent, that read back from several bytes a
+character is a shorter word of the corpus. Frequencies are counted over distinct texts. In a suspect's text every channel for which there is evidence spans a lattice: its
 bytes read back, with wildcards for bytes that were lost, which corpus words of the same shape fill. A Viterbi search
 over words, under corpus frequencies, finds the spans and their channels.
 """
@@ -30,6 +31,8 @@ LEAST_RATIO, RARE = 6, 4
 TURN = 2.5
 #: Log odds of a word that is rare both ways: read back from several bytes a character, or from one.
 MULTIBYTE, SINGLE = 3.0, 0.4
+#: Least log odds of a token that reads back from several bytes a character as a shorter known word, however frequent.
+STRUCTURE = 1.0
 
 LOST = "�"
 #: A run of ASCII letters and non-ASCII characters (white space among them, as damage makes it).
@@ -106,17 +109,19 @@ def _tokens(text: str) -> set[str]:
     return found.union(t for t in _ASKED.findall(text) if len(t) > 2) if "?" in text else found
 
 
-_PAIRS = pa.schema([("doc_id", pa.int64()), ("token", pa.string())])
+_PAIRS = pa.schema([("doc_id", pa.int64()), ("token", pa.string()), ("of", pa.int64())])
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, out_ids, out = b.column(0).to_pylist(), [], []
+        ids, out_ids, out, of = b.column(0).to_pylist(), [], [], []
         for i, text in zip(ids, b.column(1).to_pylist()):
             found = sorted(_tokens(text))
             out_ids += [i] * len(found)
             out += found
-        yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.string())], schema=_PAIRS)
+            if found:
+                of += [int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.string()), pa.array(of, pa.int64())], schema=_PAIRS)
 
 
 _FORMS = pa.schema([("token", pa.string()), ("channel", pa.string()), ("word", pa.string()), ("base", pa.string()), ("n_word", pa.int64())])
@@ -132,7 +137,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in {word, word.upper(), word.capitalize()}:  # as it is written in titles and capitals
                 for name in channels():
                     x = damaged(w, name)
-                    if x and x != w and not x.isascii():
+                    if x and x != w and not x.isascii() and not x.isspace():  # a no-break space is no word
                         rows.append((x, name, w, word, n))
             s = shape(word)
             if re.search(r"\?[a-zA-Z]", s):
@@ -146,6 +151,20 @@ def _plain(text: str) -> bool:
     return not any("\x7f" <= c <= "\x9f" or c == LOST or "─" <= c <= "▟" for c in text)
 
 
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shorter words of plain letters that tokens are when read back from several bytes a character."""
+    names = [k for k, v in channels().items() if v[0][0] == "utf-8"]
+    for b in batches:
+        rows = []
+        for token in b.column(0).to_pylist():
+            for name in names:
+                x = mended(token, name)
+                if x is not None and len(x) < len(token) and x.isalpha() and _plain(x):
+                    rows.append((token, name, x, x.lower(), 0))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _FORMS)], schema=_FORMS)
+
+
 def _odds(token: str, n: int, name: str, known: dict[str, dict[str, int]]) -> tuple[float, bool]:
     """(log odds of the channel against the token as it is, were bytes lost)."""
     if token.isascii():
@@ -153,7 +172,8 @@ def _odds(token: str, n: int, name: str, known: dict[str, dict[str, int]]) -> tu
     many = channels()[name][0][0] == "utf-8"
     x = mended(token, name)
     if name in known.get(token, ()):
-        return math.log(known[token][name] / n) + MULTIBYTE * (many and x is not None and len(x) < len(token)), False
+        odds = math.log(known[token][name] / n)
+        return (max(odds + MULTIBYTE, STRUCTURE if x.isalpha() else -math.inf) if many and x is not None and len(x) < len(token) else odds), False
     if x is not None:
         if x == token:
             return 0.0, False
@@ -161,7 +181,7 @@ def _odds(token: str, n: int, name: str, known: dict[str, dict[str, int]]) -> tu
             return -6.0, False
         rare = n < RARE
         if many and len(x) < len(token):
-            return (MULTIBYTE if rare else MULTIBYTE - math.log(n)), False
+            return (MULTIBYTE if rare else max(MULTIBYTE - math.log(n), 0.0 if x.isalpha() else -math.inf)), False
         return (SINGLE if rare and x.isalpha() >= token.isalpha() else -SINGLE - math.log(n)), False
     x = mended(token, name, "replace")
     if x is not None and x.count(LOST) <= max(1, len(x) // 3) and len(x) < len(token):
@@ -172,7 +192,7 @@ def _odds(token: str, n: int, name: str, known: dict[str, dict[str, int]]) -> tu
 def restore(text: str, counts: dict[str, int], known: dict[str, dict[str, int]], strong: set[str]) -> tuple[str, bool, list[str]]:
     """(restored text, were characters lost, channels found).
 
-    counts: in how many documents the text's tokens are; known: by token, in how many the words are that each channel
+    counts: in how many distinct texts the text's tokens are; known: by token, in how many the words are that each channel
     makes it from; strong: the channels for which there is evidence in the text.
     """
     names = sorted(strong - {"?"}, key=list(channels()).index)
@@ -259,15 +279,18 @@ def repaired(documents: DataFrame) -> DataFrame:
     Where characters were lost, restored_md5 is '' and restored the likeliest text, with what can't be told left as it
     is. Texts that only quote such characters, null and empty texts have no rows; a row that is repeated whole counts once.
     """
-    pairs = written(texts(documents).mapInArrow(_list, "doc_id long, token string"))
-    each = pairs.groupBy("token").agg(F.countDistinct("doc_id").alias("n"))
+    pairs = written(texts(documents).mapInArrow(_list, "doc_id long, token string, of long"))
+    each = written(pairs.groupBy("token").agg(F.countDistinct("of").alias("n")))
+    pairs = pairs.select("doc_id", "token")
     lower = each.groupBy(F.lower("token").alias("l")).agg(F.sum("n").alias("m"))
     counts = written(each.withColumn("l", F.lower("token")).join(lower, "l").select("token", F.when(F.col("token") == F.col("l"), F.col("n")).otherwise(F.col("m")).alias("n")))
     forms = counts.where(f"n >= {LEAST_RATIO}").mapInArrow(_forms, "token string, channel string, word string, base string, n_word long")
     made = forms.join(counts, "token").withColumn("strong", F.col("n_word") >= LEAST_RATIO * F.col("n"))
-    made = written(made)
+    back = counts.mapInArrow(_read_back, "token string, channel string, word string, base string, n_word long").drop("n_word")
+    back = back.join(lower.select(F.col("l").alias("base"), F.col("m").alias("n_word")), "base").join(counts, "token").withColumn("strong", F.lit(True))
+    made = written(made.unionByName(back))
     garbled = made.where("strong and channel <> '?'").select(F.col("token").alias("base")).distinct()  # frequent, but a damaged form itself
-    words = written(made.join(garbled, "base", "left_anti").groupBy("token", "channel").agg(F.max(F.struct("n_word", "word", "strong")).alias("w")).select("token", "channel", "w.*"))
+    words = written(made.join(garbled, "base", "left_anti").groupBy("token", "channel").agg(F.max(F.struct("n_word", "word")).alias("w"), F.max("strong").alias("strong")).select("token", "channel", "w.*", "strong"))
     plain = texts(documents).where(F.col("text").contains(LOST) | F.col("text").rlike(r"\?{2,}[,;:.!]?\s+\?")).select("doc_id")
     suspects = written(pairs.join(words.where("strong").select("token").distinct(), "token", "left_semi").select("doc_id").unionByName(plain).distinct())
     mine = written(maybe_in(pairs, "doc_id", suspects).join(suspects, "doc_id", "left_semi").distinct())

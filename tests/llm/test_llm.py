@@ -310,6 +310,18 @@ def test_encodings_of_odd_rows(odd, none):
     assert encoding.repaired(odd).count() == 0 and encoding.repaired(none).count() == 0
 
 
+def test_a_garbled_group_that_holds_a_third_of_the_rows(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeéèüößñç") for _ in range(6)) + "é"
+    known = [word() for _ in range(40)]
+    clean = [" ".join(rng.choice(known) for _ in range(12)) for _ in range(40)]
+    source = [encoding.damaged(" ".join(rng.choice(known) for _ in range(12)), "utf-8>latin-1") for _ in range(20)]
+    d = docs(spark, clean + source + [source[0]] * 30)
+    got = {r["doc_id"]: r["restored_md5"] for r in encoding.repaired(d).collect()}
+    want = {40 + i: hashlib.md5(encoding.mended(t, "utf-8>latin-1").encode()).hexdigest() for i, t in enumerate(source + [source[0]] * 30)}
+    assert got == want
+
+
 @pytest.mark.parametrize("name", list(encoding.channels()))
 def test_every_channel_has_an_inverse(name):
     for text in ("für größe", "привет", "zażółć"):
