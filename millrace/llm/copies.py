@@ -3,7 +3,8 @@
 Two 128-bit keys stand for a text: one of its letters and digits in order (case-folded), and, for labelled records
 (one field per line, or a JSON object), one of its set of fields. Every task keeps two register-blocked Bloom filters
 of the keys it has seen, once and repeatedly; merged by block over all tasks they tell which keys may repeat anywhere.
-Only those keys are shuffled and grouped exactly; all other rows are single records and are never moved.
+Only those keys are shuffled and grouped exactly; all other rows are single records and are never moved. Keys are written
+in the order of their hash, so that where several rounds of filters are needed each reads its own range only.
 """
 
 from __future__ import annotations
@@ -15,21 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as V
-from .common import slices, texts, written
+from .common import ROW_WORDS, filter_rows, slices, table_path, texts, written
 
 #: Keys a 64-bit filter block holds on average: 16 bits a key.
 KEYS_PER_BLOCK = 4
-#: Blocks of one round: 12 bytes each and their hash table stay well under 100 MB wherever they are broadcast.
-ROUND_BLOCKS = 1 << 19
+#: Blocks of one round's filter, 32 MB where it is broadcast: 16 million keys.
+ROUND_BLOCKS = 1 << 22
 #: Labels of turns; a conversation is no labelled record, its order counts.
 ROLES = {"user", "assistant", "system"}
 
 _OTHER = re.compile(r"[\W_]+")
-_FIELD = re.compile(r"^\s*([^:\n]{1,60}?)\s*:(?!//)(.*)$")
+_FIELD = re.compile(r"^\s*([^:\n]+?)\s*:(?!//)(.*)$")
 
 KEYS = T.StructType().add("doc_id", "long").add("a", "long").add("b", "long").add("ra", "long").add("rb", "long")
 _KEYS = pa.schema([(f.name, pa.int64()) for f in KEYS])
@@ -40,34 +42,41 @@ def canonical(text: str) -> str:
     return _OTHER.sub("", text.casefold())
 
 
+class _Object(list):
+    """The pairs of a JSON object."""
+
+
 def _flat(value) -> str:
+    """Objects within a value have their fields in sorted order; the order of an array counts."""
+    if isinstance(value, _Object):
+        return "".join(k + v for k, v in sorted((canonical(k), canonical(_flat(v))) for k, v in value))
     if isinstance(value, list):
-        return "".join(k + _flat(v) if isinstance(x, tuple) else _flat(x) for x in value for k, v in ([x] if isinstance(x, tuple) else [("", x)]))
+        return "".join(map(_flat, value))
     return "" if value is None else str(value)
 
 
 def fields(text: str) -> list[tuple[str, str]] | None:
     """The canonical fields of a labelled record in sorted order; None for other texts.
 
-    A record is a JSON object, or at least two lines of the form ``name: value`` with different names of at most
-    five words, blank lines aside. Values of a JSON object are compared after decoding.
+    A record is a JSON object, or at least two lines of the form ``name: value`` with different names, blank lines
+    aside. Values of a JSON object are compared after decoding, objects within them in any order.
     """
     body = text.strip()
     if body[:1] == "{" and body[-1:] == "}":
         try:
-            pairs = json.loads(body, object_pairs_hook=list, parse_float=str, parse_int=str, parse_constant=str)
+            pairs = json.loads(body, object_pairs_hook=_Object, parse_float=str, parse_int=str, parse_constant=str)
         except (ValueError, RecursionError):
             return None
         found = [(canonical(k), canonical(_flat(v))) for k, v in pairs]
         return sorted(found) if len(found) > 1 else None
-    if "\n" not in body and "\r" not in body or ":" not in body[:70]:
+    if "\n" not in body and "\r" not in body or ":" not in body:
         return None
     found = []
     for line in body.splitlines():
         if not line.strip():
             continue
         m = _FIELD.match(line)
-        if not m or len(m[1].split()) > 5 or not (name := canonical(m[1])) or name.isdigit():
+        if not m or not (name := canonical(m[1])) or name.isdigit():
             return None
         found.append((name, canonical(m[2])))
     names = {n for n, _ in found}
@@ -164,37 +173,40 @@ def _filter(block: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(V.signed(seen[last])), pa.array(V.signed(again[last]))], schema=_FILTERS)
 
 
-def flagged(keyed: DataFrame, a: str, b: str, flag: str) -> DataFrame:
-    """keyed with a column flag: false only where the key (a, b) is null or certainly occurs in one row.
-
-    Rounds by ranges of the hash keep the merged filter of each round, which is broadcast, under ROUND_BLOCKS blocks,
-    whatever the number of rows.
-    """
-    n = keyed.where(F.col(a).isNotNull()).count()
-    blocks = max(1, n // KEYS_PER_BLOCK)
-    rounds = -(-blocks // ROUND_BLOCKS)
-    merge = F.aggregate(
-        F.collect_list(F.struct("once", "again")),  # a row per task at most
-        F.struct(F.lit(0).cast("long").alias("once"), F.lit(0).cast("long").alias("again")),
-        lambda s, x: F.struct(s["once"].bitwiseOR(x["once"]).alias("once"), s["again"].bitwiseOR(x["again"]).bitwiseOR(s["once"].bitwiseAND(x["once"])).alias("again")),
-        lambda s: s["again"],
-    )
+def _round(keyed: DataFrame, blocks: int, a: str, b: str, flag: str) -> DataFrame:
+    """keyed (keys of one round) with the flag, from one filter of so many blocks."""
     mask = F.lit(0).cast("long")
     for i in range(3):
         mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({b}, {6 * i}) & 63 as int))"))
-    parts = []
-    for k in range(rounds):
-        mine = keyed.withColumn("block", F.pmod(F.col(a), F.lit(blocks)))
-        if rounds > 1:
-            low, high = k * ROUND_BLOCKS, (k + 1) * ROUND_BLOCKS
-            mine = mine.where(((F.col("block") >= low) & (F.col("block") < high)) | (F.col("block").isNull() if k == 0 else F.lit(False)))
-        partial = mine.where(F.col(a).isNotNull()).select("block", b).mapInArrow(_filters, "block long, once long, again long")
-        merged = partial.groupBy("block").agg(merge.alias("again")).where("again <> 0")
-        parts.append(mine.join(F.broadcast(merged), "block", "left").withColumn(flag, F.coalesce(F.col("again").bitwiseAND(mask) == mask, F.lit(False))).drop("block", "again"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    mine = keyed.withColumn("block", F.pmod(F.xxhash64(F.lit(4), a), F.lit(blocks)))
+    partial = mine.select("block", b).mapInArrow(_filters, "block long, once long, again long")
+    # bits of the rows so far, in any order: a bit that a row has too was seen by two tasks. Windows stream and spill.
+    so_far = F.bit_or("once").over(W.partitionBy("block").orderBy("once").rowsBetween(W.unboundedPreceding, -1))
+    both = partial.withColumn("again", F.col("again").bitwiseOR(F.coalesce(so_far, F.lit(0).cast("long")).bitwiseAND(F.col("once"))))
+    words = both.groupBy("block").agg(F.bit_or("again").alias("_bits")).where("_bits <> 0").select(F.floor(F.col("block") / ROW_WORDS).cast("int").alias("_row"), F.pmod("block", F.lit(ROW_WORDS)).cast("int").alias("_word"), "_bits")
+    probed = mine.withColumn("_row", F.floor(F.col("block") / ROW_WORDS).cast("int")).join(F.broadcast(filter_rows(words)), "_row", "left")
+    bits = F.get("_words", F.pmod("block", F.lit(ROW_WORDS)).cast("int"))
+    return probed.withColumn(flag, F.coalesce(bits.bitwiseAND(mask) == mask, F.lit(False))).drop("block", "_row", "_words")
+
+
+def flagged(keyed: DataFrame, a: str, b: str, flag: str) -> DataFrame:
+    """keyed with a column flag: false only where the key (a, b) certainly occurs in one row.
+
+    The merged filter of a round, which is broadcast, has at most ROUND_BLOCKS blocks whatever the number of rows. Rounds
+    are ranges of a; keyed is a table whose files are sorted by a, so that each round reads its own part of it.
+    """
+    n = keyed.count()
+    rounds = max(1, -(-n // (KEYS_PER_BLOCK * ROUND_BLOCKS)))
+    blocks = max(1, -(-n // (KEYS_PER_BLOCK * rounds)))
+    if rounds == 1:
+        return _round(keyed, blocks, a, b, flag)
+    spark, path = keyed.sparkSession, table_path(keyed.sparkSession)
+    edges = [(k << 64) // rounds - (1 << 63) for k in range(rounds + 1)]
+    for low, high in zip(edges, edges[1:]):  # one job each: the plan stays as small as that of one round
+        out = _round(keyed.where((F.col(a) >= low) & (F.col(a) <= high - 1)), blocks, a, b, flag)
+        out.write.mode("append").parquet(path)
+        schema = out.schema
+    return spark.read.schema(schema).parquet(path)
 
 
 def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,10 +215,14 @@ def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     Labelled records are grouped by their fields; another text with the letters and digits of a labelled record joins
     its group. group_id is the smallest doc_id of the group. A row that is repeated whole counts once.
     """
-    keyed = written(keys(documents))
-    rows = flagged(flagged(keyed, "a", "b", "text_again"), "ra", "rb", "fields_again")
+    keyed = written(keys(documents).sortWithinPartitions("a"))
+    rows = flagged(keyed, "a", "b", "text_again")
+    labelled = flagged(written(rows.where("ra is not null").sortWithinPartitions("ra")), "ra", "rb", "fields_again")
+    other = rows.where("ra is null")
     again = F.col("text_again") | F.col("fields_again")
-    possible = written(rows.where(again).select("doc_id", "a", "b", "ra", "rb").dropDuplicates())
+    columns = ["doc_id", "a", "b", "ra", "rb"]
+    possible = written(other.where("text_again").select(columns).unionByName(labelled.where(again).select(columns)).dropDuplicates())
+    single = other.where("not text_again").select("doc_id").unionByName(labelled.where(~again).select("doc_id"))
     named = possible.where("ra is not null").groupBy("a", "b").agg(F.min(F.struct("ra", "rb")).alias("r"))
     key = (
         F.when(F.col("ra").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("ra").alias("x"), F.col("rb").alias("y")))
@@ -216,7 +232,7 @@ def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact = written(possible.join(named, ["a", "b"], "left").select("doc_id", key.alias("key")))
     groups = exact.groupBy("key").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
     members = exact.join(groups, "key").select("doc_id", "group_id", "n_copies")
-    return members.where("n_copies > 1"), rows.where(~again).select("doc_id").unionByName(members.where("n_copies = 1").select("doc_id"))
+    return members.where("n_copies > 1"), single.unionByName(members.where("n_copies = 1").select("doc_id"))
 
 
 def copies(documents: DataFrame) -> DataFrame:
