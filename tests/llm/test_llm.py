@@ -79,6 +79,19 @@ def test_records_in_any_order_and_form(spark):
     assert {tuple(r) for r in copies.copies(d).collect()} == {(0, 0), (0, 1), (0, 2), (0, 4), (7, 7), (7, 8)}
 
 
+def test_fields_of_nested_objects_in_any_order(spark):
+    d = docs(spark, ['{"b": {"c": 1, "d": [1, 2]}, "a": 0}', '{"a": 0, "b": {"d": [1, 2], "c": 1}}', '{"a": 0, "b": {"d": [2, 1], "c": 1}}', "A rather long name of a field that goes on and on until it has over sixty characters: 1\nb: 2", "b: 2\nA rather long name of a field that goes on and on until it has over sixty characters: 1"])
+    assert {tuple(r) for r in copies.copies(d).collect()} == {(0, 0), (0, 1), (3, 3), (3, 4)}
+
+
+def test_filters_of_any_size_and_trees_of_any_width(spark, monkeypatch):
+    keys = spark.range(0, 5_000, 37).toDF("k")
+    assert common.maybe_in(spark.range(5_000), "id", keys, most_words=1).count() == 5_000  # too many keys: the join that follows decides
+    counts = spark.createDataFrame([(p, s, near.zlib.compress(np.full(near.SEGMENT, p + s, np.uint32).tobytes())) for p in range(11) for s in range(2)], "part int, segment int, counts binary")
+    got = {r["segment"]: np.frombuffer(near.zlib.decompress(r["counts"]), np.uint32) for r in near.merged(counts, fan=2).collect()}
+    assert (got[0] == 55).all() and (got[1] == 66).all()
+
+
 def test_rounds_of_the_filter_change_nothing(spark, monkeypatch):
     texts = [f"text {i % 300}" for i in range(900)] + [f"only {i}" for i in range(500)]
     want = {tuple(r) for r in copies.copies(docs(spark, texts)).collect()}
@@ -138,6 +151,14 @@ def test_variants_of_a_text_with_many_copies(spark):
     assert {tuple(r) for r in near.pairs(docs(spark, texts)).collect()} == want and len(want) > 1_000
 
 
+def test_documents_of_a_template(spark):
+    rng = random.Random(3)
+    common_part = sentence(rng, 150)
+    texts = [f"{common_part} {sentence(rng, 44)}" for _ in range(40)]
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if jaccard(texts[i], texts[j]) >= near.SIMILARITY}
+    assert len({tuple(r) for r in near.pairs(docs(spark, texts)).collect()} & want) >= 0.99 * len(want) and len(want) == 780
+
+
 def test_plain_samples_estimate_plain_similarity():
     h = np.sort(np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64))
     x, y = (near.plain_samples(s, np.array([0]))[0] for s in (h[:3000], h[1000:]))
@@ -169,15 +190,18 @@ def test_overlaps_against_brute_force(spark, variants):
     group = {i: g for g, i in ((r["group_id"], r["doc_id"]) for r in copies.copies(d).collect())}
     side = {i: f < 0.3 for h, i, f in rows if h == "h1" and f is not None}
     want = {("h1", i, j) for i in side for j in side if i < j and side[i] != side[j] and (group.get(i, -1) == group.get(j, -2) or jaccard(variants[i], variants[j]) >= overlap.SIMILARITY)}
-    found = overlap.overlaps(d, split_rows, manifests)
+    found = overlap.find(d, split_rows, manifests)
     assert {tuple(r) for r in overlap.pairs(found).collect()} == want and len(want) > 100
-    assert overlap.report(found, d).agg({"n_pairs": "sum"}).first()[0] == 2 * len(want)
+    named = {(r["doc_id"], r["split"]): r for r in overlap.records(found).collect() if r["content_hash"] == "h1"}
+    assert {(k, "val" if side[k] else "train") for _, i, j in want for k in (i, j)} <= set(named)
+    per = overlap.report(found, d).where("content_hash = 'h1'").collect()
+    assert sum(r["n_documents"] for r in per) == len(named) and sum(r["n_alike"] for r in per) >= len({k for _, i, j in want for k in (i, j)})
 
 
 def across(spark, texts, val):
     """The pairs found and those of brute force: texts in val, the others in train."""
     s = spark.createDataFrame([("h", i, 0.05 if i in val else 0.5) for i in range(len(texts))], "content_hash string, doc_id long, fraction double")
-    found = overlap.pairs(overlap.overlaps(docs(spark, texts), s, spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double")))
+    found = overlap.pairs(overlap.find(docs(spark, texts), s, spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double")))
     plain = ["".join(WORD.findall(t.lower())) for t in texts]
     want = {("h", min(i, j), max(i, j)) for i in val for j in set(range(len(texts))) - val if plain[i] == plain[j] or jaccard(texts[i], texts[j]) >= overlap.SIMILARITY}
     return {tuple(r) for r in found.collect()}, want
@@ -201,15 +225,44 @@ def test_overlaps_of_texts_that_repeat_themselves(spark):
 def test_overlaps_of_odd_rows(spark, odd, none):
     s = spark.createDataFrame([("h", i, 0.05 if i % 2 else 0.5) for i in range(10)] + [("h", None, 0.1), (None, 3, 0.2)], "content_hash string, doc_id long, fraction double")
     m = spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double")
-    assert {tuple(r) for r in overlap.pairs(overlap.overlaps(odd, s, m)).collect()} == {("h", 6, 7)}
-    assert overlap.overlaps(none, s, m).count() == 0 and overlap.overlaps(odd, s.limit(0), m).count() == 0
+    assert {tuple(r) for r in overlap.pairs(overlap.find(odd, s, m)).collect()} == {("h", 6, 7)}
+    for d, rows in ((none, s), (odd, s.limit(0))):
+        found = overlap.find(d, rows, m)
+        assert overlap.overlaps(found).count() == 0 and overlap.records(found).count() == 0
+
+
+def test_a_record_inside_another_and_one_spread_over_two(spark):
+    rng = random.Random(1)
+    words = [w for _ in range(60) for w in sentence(rng, 100)[:-1].lower().split()]
+    inner = words[:300]
+    texts = [" ".join(inner), " ".join(words[1000:1850] + inner + words[2000:2850]), " ".join(words[300:500] + words[3000:3100]), " ".join(words[300:500] + words[4000:4600]), " ".join(words[3000:3100] + words[4700:5600]), sentence(rng, 80)]
+    s = spark.createDataFrame([("h", i, 0.05 if i in (0, 2, 5) else 0.5) for i in range(6)], "content_hash string, doc_id long, fraction double")
+    found = overlap.find(docs(spark, texts), s, spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double"))
+    rows = {(r["val_id"], r["train_id"]): r for r in overlap.overlaps(found).collect()}
+    assert rows[0, 1]["val_coverage"] == 1.0 and rows[0, 1]["similarity"] < 0.2 and rows[2, 3]["val_coverage"] == pytest.approx(2 / 3)
+    per = {r["doc_id"]: r["coverage"] for r in overlap.records(found).collect()}
+    assert per[0] == 1.0 and per[2] > 0.9 and 5 not in per and per[1] == pytest.approx(300 / 2000)
+
+
+def test_every_long_shared_span_has_a_chosen_suffix():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 500).astype(np.uint64)
+    n = overlap.PREFIX + overlap.WINDOW - 1
+    for at in range(0, 370, 7):
+        b[100 : 100 + n] = a[at : at + n]
+        h = np.concatenate((a, b))
+        key, doc, pos = overlap.chosen(h, np.repeat([0, 1], [400, 500]))
+        left = {(k, p - at) for k, d, p in zip(key.tolist(), doc, pos) if d == 0}
+        assert left & {(k, p - 100) for k, d, p in zip(key.tolist(), doc, pos) if d == 1}
+    alone = overlap.chosen(b, np.zeros(500, np.int64))
+    assert (alone[2] == pos[doc == 1]).all()  # what is chosen in a text doesn't depend on its neighbours
 
 
 def test_joint_suffix_array():
-    v, t = np.arange(20, dtype=np.uint32), np.concatenate((np.arange(5, 17), [90, 91])).astype(np.uint32)
+    v, t = np.arange(40, dtype=np.uint32), np.concatenate((np.arange(5, 27), [90, 91])).astype(np.uint32)
     s, cv, ct = overlap.shared(v, t)
-    assert s == 10 / (18 + 12 - 10) and cv == 12 / 20 and ct == 12 / 14
-    assert overlap.shared(v, v)[0] == 1.0 and overlap.shared(v[:2], t[:2]) == (0.0, 0.0, 0.0)
+    assert s == 20 / (38 + 22 - 20) and cv == [(5, 27)] and ct == [(0, 22)]
+    assert overlap.shared(v, v)[0] == 1.0 and overlap.shared(v[:2], t[:2]) == (0.0, [], [])
 
 
 # --- 6: splitting
@@ -217,16 +270,23 @@ def test_joint_suffix_array():
 
 @pytest.mark.parametrize(("text", "name"), [("a. b.\n\n" * 3000, "paragraph"), ("some words here. " * 900, "sentence"), ("word " * 3000, "word"), ("x" * 20_000, "none"), ("é" * 9_000, "none"), ("\n\n".join(["p" * 8192, "q" * 8192]), "paragraph"), ("p" * 8193 + "\n\nq", "none")])
 def test_pieces_cover_the_text(text, name):
-    at = splitting.byte_positions(text)
-    assert splitting.boundary(text, at) == name
+    found, boundary = splitting.pieces(text)
+    assert boundary == name
     whole, before = "", 0
-    for k, (s, e, d) in enumerate(splitting.pieces(text)):
+    for k, (s, e, d) in enumerate(found):
         assert len(text[s:e].encode()) <= 8192 and s <= d == before
-        assert k == 0 or 90 <= len(text[s:d].encode()) <= 200
+        assert k == 0 or len(text[s:d].encode()) <= 200 and (len(text[s:d].encode()) >= 90 or len(text[d:e].encode()) > 8192 - 110)
         whole, before = whole + text[d:e], e
     assert whole == text
 
 
+def test_units_that_fit_stay_whole():
+    text = "\n\n".join(("word " * 1700)[:8099] for _ in range(3))
+    found, boundary = splitting.pieces(text)
+    assert boundary == "paragraph" and [text[d:e].strip() for _, e, d in found] == [p.strip() for p in text.split("\n\n")]
+    assert all(len(text[s:e].encode()) <= 8192 for s, e, _ in found)
+
+
 def test_splitting_of_odd_rows(spark, odd, none):
     rows = splitting.split(odd).orderBy("piece_no").collect()
     assert {r["doc_id"] for r in rows} == {5} and rows[1]["byte_offset"] == rows[1]["text_offset"] > 0
@@ -258,6 +318,20 @@ def test_packing_keeps_all_limits(spark, odd, none):
     assert packing.pack(odd, plans).where("plan_id = 'b' and doc_id = 6").count() == 2
 
 
+def test_packing_with_three_limits_that_bind():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(20, 900, 3000)
+    loss = (tokens * rng.choice([0.0, 0.4, 1.0], 3000)).astype(np.int64)
+    boxes = packing.fill(tokens, loss, 2000, 5, 1100)
+    assert sorted(i for b in boxes for i in b) == list(range(3000))
+    t, n, q = (np.array(x) for x in ([tokens[b].sum() for b in boxes], [len(b) for b in boxes], [loss[b].sum() for b in boxes]))
+    assert t.max() <= 2000 and n.max() <= 5 and q.max() <= 1100
+    assert (n == 5).sum() > 50 and (q > 1000).sum() > 50 and (t > 1950).sum() > 50
+    assert len(boxes) <= 1.12 * max(tokens.sum() / 2000, 3000 / 5, loss.sum() / 1100)
+    lone = packing.fill(np.array([900, 500, 90]), np.array([900, 0, 90]), 1000, 9, 300)  # beyond the limit by itself
+    assert sorted(map(sorted, lone)) == [[0], [1, 2]]
+
+
 # --- 8: mixing
 
 
