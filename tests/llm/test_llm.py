@@ -262,6 +262,7 @@ def test_joint_suffix_array():
     v, t = np.arange(40, dtype=np.uint32), np.concatenate((np.arange(5, 27), [90, 91])).astype(np.uint32)
     s, cv, ct = overlap.shared(v, t)
     assert s == 20 / (38 + 22 - 20) and cv == [(5, 27)] and ct == [(0, 22)]
+    assert overlap.shared(v, t, span=23)[1:] == ([], [])
     assert overlap.shared(v, v)[0] == 1.0 and overlap.shared(v[:2], t[:2]) == (0.0, [], [])
 
 
