@@ -1,19 +1,21 @@
 """Problem 9: the subject areas of each document.
 
 For every language and subject an interpolated n-gram model (bigram, unigram, background) of words is trained on a
-bounded sample of labelled documents, first on those with one label. Sentences of documents with several labels are then
+bounded sample of labelled documents, first on those with one label. The background, and the vocabulary beside the
+sample's words, are counted over all distinct texts. Sentences of documents with several labels are then
 dealt to the label that explains them best, documents that contradict their label are dropped, and the models trained
 again. (Sentences of documents with one label stay together: dealt one by one, they drift apart by phrases that have
 nothing to do with subjects.) A sentence is about
 the subject with the lowest per-token cross-entropy, if that is lower than the background's by more than a margin,
-calibrated on the labels. A document has every subject that at least a fifth of its sentences are about.
+calibrated on labelled documents that were held out from training. A document has every subject that at least a fifth of its sentences are about.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,11 +28,12 @@ from . import textvec as V
 from .common import maybe_in, slices, texts, written
 from .langcodes import CODES, normal
 
-#: Labelled documents, and documents for the background, to train on: those with the least hash of doc_id.
-MOST_LABELLED, MOST_BACKGROUND = 12_000, 6_000
+#: Defaults of fit(): labelled documents to train on, those with the least hash of doc_id, and most bytes of their texts;
+#: words of the vocabulary beside those of the sample.
+MOST_LABELLED, MOST_BYTES, MOST_WORDS = 12_000, 48 << 20, 100_000
+#: Part of the labelled documents that the margin is calibrated on.
+HELD_OUT = 5
 SHARE = 0.2
-#: Units with fewer words (labels, numbers, dates) are no sentences.
-LEAST_WORDS = 5
 #: A document's mixture of subjects: how much a sentence's words count, rounds, and weight of an even mixture.
 TRUST, MIXINGS, EVEN = 0.7, 4, 0.15
 BIGRAM, UNIGRAM, BACKGROUND = 0.45, 0.45, 0.1
@@ -50,17 +53,27 @@ class Tokens:
     of: np.ndarray
 
 
+@functools.cache
+def _lower() -> np.ndarray:
+    return np.fromiter((chr(i).islower() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
 def tokens(strings: list[str]) -> Tokens:
-    """The words of the sentences with LEAST_WORDS words or more."""
+    """The words and sentences of some texts. A line that goes on in lower case in the next one is broken, not ended."""
     w = V.words(strings)
-    sent = V.sentences(w)
-    if len(sent):
-        keep = (np.bincount(sent) >= LEAST_WORDS)[sent]
-        h, doc, sent = w.hash[keep], w.doc[keep], np.unique(sent[keep], return_inverse=True)[1]
-    else:
-        h, doc = w.hash, w.doc
-    first = np.flatnonzero(np.diff(sent, prepend=-1))
-    return Tokens(h, sent, doc, doc[first])
+    if not len(w.hash):
+        return Tokens(w.hash, w.doc[:0], w.doc, w.doc[:0])
+    starts = V.sentence_starts(w.codes)
+    as_written = V.codes(strings)[0]
+    if len(as_written) == len(w.codes):
+        feed = np.flatnonzero((w.codes[:-1] == 10) | (w.codes[:-1] == 13))
+        ended = V._sentence_marks()[0][w.codes[np.maximum(feed - 1, 0)]]
+        feed = feed[_lower()[as_written[feed + 1]] & ~ended]
+        feed = feed[~np.isin(feed, w.at[1:] - 1)]  # texts end for certain
+        starts[feed] = False
+    till = np.cumsum(starts)[w.start]
+    new = np.concatenate(([True], (till[1:] != till[:-1]) | (w.doc[1:] != w.doc[:-1])))
+    return Tokens(w.hash, np.cumsum(new) - 1, w.doc, w.doc[new])
 
 
 @dataclass
@@ -146,8 +159,25 @@ def _all_scores(model: Model, h: np.ndarray, sent: np.ndarray, first: np.ndarray
     return out
 
 
-def train(strings: list[str], langs: list[str | None], labels: list[set[str] | None], subjects: list[str]) -> Model:
-    """labels: the subjects of a labelled document, None for one of the background."""
+@dataclass
+class Sample:
+    """Words of labelled texts, with sentence and text; the languages' models; labels by text and subject."""
+
+    model: Model
+    hash: np.ndarray
+    sent: np.ndarray
+    of: np.ndarray
+    lang: np.ndarray
+    has: np.ndarray
+
+    def part(self, docs: np.ndarray) -> Sample:
+        """Of these texts only (by text: is it in), numbered anew."""
+        word, sentence = docs[self.of][self.sent], docs[self.of]
+        return Sample(self.model, self.hash[word], (np.cumsum(sentence) - 1)[self.sent[word]], (np.cumsum(docs) - 1)[self.of[sentence]], self.lang[sentence], self.has[docs])
+
+
+def sample(strings: list[str], langs: list[str | None], labels: list[set[str]], subjects: list[str], frequent: np.ndarray) -> Sample:
+    """A vocabulary of the sample's words and of those frequent in the corpus, and models of the languages."""
     parts, base, sbase = [], 0, 0
     for lo, hi in slices(strings):
         t = tokens(strings[lo:hi])
@@ -157,31 +187,49 @@ def train(strings: list[str], langs: list[str | None], labels: list[set[str] | N
     h, sent, of = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
     h = h.astype(np.uint64)
     words, counts = np.unique(h, return_counts=True)
-    vocabulary = words[counts >= LEAST_COUNT]
+    vocabulary = np.union1d(words[counts >= LEAST_COUNT], frequent.astype(np.uint64))
     if not len(vocabulary):
         vocabulary = np.zeros(1, np.uint64)
     size, n_lang, n_sub = len(vocabulary), len(CODES), len(subjects)
     model = Model(subjects, vocabulary, np.zeros((size + 1, n_lang), np.float32), np.full((n_lang, size + 1, n_sub), -5, np.float32), [np.zeros(0, np.int64)] * n_lang, [np.zeros((0, n_sub), np.float32)] * n_lang)
-    if not len(h):
-        return model
-    ids, first = model.ids(h), np.flatnonzero(np.diff(sent, prepend=-1))
-
-    named = np.array([CODES.index(c) if (c := normal(x)) else -1 for x in langs])
-    lang = named[of]
-    for _ in range(3):
-        count = _tally(ids, lang[sent], size + 1, n_lang)
-        count[size] = count[size].mean() + 1  # an unknown word tells nothing
-        model.language = np.log((count + 0.02) / (count.sum(0) + 0.02 * (size + 1))).astype(np.float32)
-        model.language[size] = 0
-        ends = np.append(first, len(ids))
-        lang = np.concatenate([model.languages(ids[ends[i] : ends[min(i + 20_000, len(first))]], first[i : i + 20_000] - first[i]) for i in range(0, len(first), 20_000)])
-
     has = np.zeros((len(strings), n_sub), bool)
-    labelled = np.array([x is not None for x in labels])
     for i, x in enumerate(labels):
-        for s in x or ():
+        for s in x:
             if s in subjects:
                 has[i, subjects.index(s)] = True
+    lang = np.array([CODES.index(c) if (c := normal(x)) else -1 for x in langs], np.int64)[of] if len(of) else of
+    if len(h):
+        ids, first = model.ids(h), np.flatnonzero(np.diff(sent, prepend=-1))
+        for _ in range(3):
+            count = _tally(ids, lang[sent], size + 1, n_lang)
+            here = count.sum(1) > 0
+            count[size] = count[size].mean() + 1  # an unknown word tells nothing
+            model.language = np.log((count + 0.02) / (count.sum(0) + 0.02 * (size + 1))).astype(np.float32)
+            model.language[~here] = 0  # nor does one that the sample lacks
+            model.language[size] = 0
+            ends = np.append(first, len(ids))
+            lang = np.concatenate([model.languages(ids[ends[i] : ends[min(i + 20_000, len(first))]], first[i : i + 20_000] - first[i]) for i in range(0, len(first), 20_000)])
+    return Sample(model, h, sent, of, lang, has)
+
+
+@dataclass
+class Corpus:
+    """Counts over all distinct texts: of words by language, and of the bigrams asked for (sorted keys) by language."""
+
+    words: np.ndarray  # by language and word
+    bigrams: list[np.ndarray]  # by language: sorted keys
+    times: list[np.ndarray]
+    before: list[np.ndarray]  # by language and word: how often it is followed by a known word in its sentence
+
+
+def train(given: Sample, corpus: Corpus) -> Model:
+    """The models of every language and subject from labelled texts, against the background of the corpus."""
+    h, sent, of, lang, has = given.hash, given.sent, given.of, given.lang, given.has
+    size, n_lang, n_sub, n_docs = len(given.model.vocabulary), len(CODES), has.shape[1], len(has)
+    model = replace(given.model, unigram=np.full((n_lang, size + 1, n_sub), -5, np.float32), bigrams=[np.zeros(0, np.int64)] * n_lang, bigram=[np.zeros((0, n_sub), np.float32)] * n_lang)
+    if not len(h):
+        return model
+    ids, first = model.ids(h), np.flatnonzero(np.diff(sent, prepend=-1))
     single = has.sum(1) == 1
     label = np.where(single, has.argmax(1), -1)[of].astype(np.int8)  # of each sentence; -1: teaches nothing but the background
     key = pair_keys(ids, sent, size)
@@ -198,7 +246,7 @@ def train(strings: list[str], langs: list[str | None], labels: list[set[str] | N
                 continue
             # Subjects differ in what else their documents hold (tables, reports): counts are scaled so that the middle one
             # of the words that nearly all subjects have is as frequent in each, and tells nothing.
-            count = np.bincount(ids[mine], minlength=size + 1).astype(float)
+            count = np.maximum(corpus.words[k], np.bincount(ids[mine], minlength=size + 1)).astype(float)
             common = (uni[:, ~none] >= LEAST_COUNT).sum(1) >= COMMON * (~none).sum()
             common[size] = False
             scale, whole = np.maximum(1e-9, uni.sum(0)), count.sum()
@@ -218,9 +266,12 @@ def train(strings: list[str], langs: list[str | None], labels: list[set[str] | N
             known, which, times = np.unique(key[pairs], return_inverse=True, return_counts=True)
             if not len(known):
                 continue
+            if len(corpus.bigrams[k]):
+                at = np.minimum(np.searchsorted(corpus.bigrams[k], known), len(corpus.bigrams[k]) - 1)
+                times = np.where(corpus.bigrams[k][at] == known, np.maximum(times, corpus.times[k][at]), times)
             bi = _tally(which, label[sent[pairs]], len(known), n_sub)
             v, w = known // size, known % size
-            before = np.bincount(v, times, size + 1)
+            before = np.maximum(np.bincount(v, times, size + 1), corpus.before[k])
             before_s = np.stack([np.bincount(v, bi[:, s], size + 1) for s in range(n_sub)], 1)
             seen = (before_s[v] > 0.5) & ~none
             p_bi = np.where(seen, bi / np.maximum(1e-9, before_s[v]), 0.0)
@@ -233,49 +284,136 @@ def train(strings: list[str], langs: list[str | None], labels: list[set[str] | N
             model.bigrams[k], model.bigram[k] = known[often], ratio[often].astype(np.float32)
         score = _all_scores(model, h, sent, first)
         length = np.diff(first, append=len(h)).astype(np.float32)[:, None]
-        whole = np.zeros((len(strings), n_sub), np.float32)
+        whole = np.zeros((n_docs, n_sub), np.float32)
         np.add.at(whole, of, score * length)
-        right = has[np.arange(len(strings)), whole.argmax(1)]  # documents that contradict their label teach nothing
+        right = has[np.arange(n_docs), whole.argmax(1)]  # documents that contradict their label teach nothing
         mine = np.where(has[of], score, -np.inf)
         best = mine.argmax(1)
         sure = (mine.max(1) > 0.05) & (score.argmax(1) == best) & (has.sum(1) > 1)[of]
         label = np.where((single & right)[of] | sure, best, -1).astype(np.int8)
-    # the margin that agrees best with the labels
-    score = _all_scores(model, h, sent, first)
-    length = np.diff(first, append=len(h))
-    n = np.bincount(of, minlength=len(strings))
+    return model
+
+
+def margin(model: Model, held: Sample) -> float:
+    """The margin with which the model agrees best with the labels of texts that it wasn't trained on."""
+    if not len(held.hash):
+        return float(MARGINS[len(MARGINS) // 4])
+    first, n_sub = np.flatnonzero(np.diff(held.sent, prepend=-1)), held.has.shape[1]
+    score = _all_scores(model, held.hash, held.sent, first)
+    length = np.diff(first, append=len(held.hash))
+    n = np.bincount(held.of, minlength=len(held.has))
     worth = []
-    for margin in MARGINS:
-        about = np.zeros((len(strings), n_sub + 1))
-        np.add.at(about, (of, deal(score, length, of, margin)), 1)
-        about = about[:, :n_sub]
-        said = about >= np.maximum(1e-9, SHARE * n[:, None])
-        said, true = said[labelled], has[labelled]
-        worth.append(2 * (said & true).sum() / max(1, said.sum() + true.sum()))
+    for m in MARGINS:
+        about = np.zeros((len(held.has), n_sub + 1))
+        np.add.at(about, (held.of, deal(score, length, held.of, m)), 1)
+        said = about[:, :n_sub] >= np.maximum(1e-9, SHARE * n[:, None])
+        worth.append(2 * (said & held.has).sum() / max(1, said.sum() + held.has.sum()))
     near = np.flatnonzero(np.array(worth) >= max(worth) - 0.002)
-    model.margin = float(MARGINS[near[len(near) // 2]])
-    return model
+    return float(MARGINS[near[len(near) // 2]])
+
+
+def calibrated(given: Sample, corpus: Corpus) -> Model:
+    """A model of all labelled texts, with the margin of one that a part of them was held out from."""
+    out = np.arange(len(given.has)) % HELD_OUT == 0
+    m = margin(train(given.part(~out), corpus), given.part(out)) if len(given.has) >= 4 * HELD_OUT else margin(given.model, given.part(out & False))
+    return replace(train(given, corpus), margin=m)
+
+
+_SEEN = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+
 
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of each text, and the words of a batch with the number of its texts that have them."""
+    for b in batches:
+        strings = b.column(1).to_pylist()
+        for lo, hi in slices(strings):
+            w = V.words(strings[lo:hi])
+            c, at = V.codes(strings[lo:hi])
+            k = hi - lo
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k).cast(pa.int64()), pa.array(V.signed(V.range_hashes(c, at[:-1], at[1:] - 1))), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=_SEEN)
+            word, _, _ = V.distinct(w.hash, w.doc)
+            u, n = np.unique(word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(V.signed(u)), pa.array(n)], schema=_SEEN)
 
-def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
-    """Trains on at most MOST_LABELLED labelled and MOST_BACKGROUND other documents, whole texts; labels without subject or of unknown subjects are left out."""
+
+def _counted(shared):
+    """By language: counts of the vocabulary's words (kind 0), of the bigrams asked for (1), of words before another (2)."""
+    schema = pa.schema([("kind", pa.int8()), ("lang", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, asked = shared.value
+        size, n_lang = len(model.vocabulary), len(CODES)
+        counts = [np.zeros((n_lang, size + 1), np.int64), np.zeros((n_lang, max(1, len(asked))), np.int64), np.zeros((n_lang, size + 1), np.int64)]
+        for b in batches:
+            strings = b.column(0).to_pylist()
+            for lo, hi in slices(strings):
+                t = tokens(strings[lo:hi])
+                if not len(t.hash):
+                    continue
+                ids = model.ids(t.hash)
+                lang = model.languages(ids, np.flatnonzero(np.diff(t.sent, prepend=-1)))[t.sent]
+                counts[0] += np.bincount(lang * (size + 1) + ids, minlength=n_lang * (size + 1)).reshape(n_lang, -1)
+                key = pair_keys(ids, t.sent, size)
+                at = np.flatnonzero(key >= 0)
+                counts[2] += np.bincount(lang[at] * (size + 1) + key[at] // size, minlength=n_lang * (size + 1)).reshape(n_lang, -1)
+                if len(asked):
+                    place = np.minimum(np.searchsorted(asked, key[at]), len(asked) - 1)
+                    hit = asked[place] == key[at]
+                    counts[1] += np.bincount(lang[at][hit] * len(asked) + place[hit], minlength=n_lang * len(asked)).reshape(n_lang, -1)
+        for kind, c in enumerate(counts):
+            lang, key = np.nonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(lang.astype(np.int8)), pa.array(key), pa.array(c[lang, key])], schema=schema)
+
+    return run
+
+
+def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled: int = MOST_LABELLED, most_bytes: int = MOST_BYTES, most_words: int = MOST_WORDS) -> Model:
+    """Trains on at most most_labelled labelled documents with at most most_bytes of whole texts; everything else is counted
+    over all distinct texts. Labels without subject or of unknown subjects are left out.
+
+    What reaches the driver is bounded by these parameters: the sample's texts, and counts of its bigrams and of at most
+    most_words words beside its own.
+    """
+    spark = documents.sparkSession
     subjects = sorted(r[0] for r in areas.select("subject").where("subject is not null").distinct().collect())
     named = labels.where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     h = F.xxhash64(F.lit(3), "doc_id")
-    chosen = written(named.orderBy(h, "doc_id").limit(MOST_LABELLED))
-    all_ids = documents.select("doc_id").where("doc_id is not null and text is not null")
-    back = written(all_ids.orderBy(h, "doc_id").limit(MOST_BACKGROUND).join(chosen, "doc_id", "left_anti"))
-    both = written(chosen.unionByName(back.withColumn("subjects", F.lit(None).cast("array<string>"))).dropDuplicates(["doc_id"]))
-    rows = maybe_in(texts(documents, "lang"), "doc_id", both.select("doc_id")).join(both, "doc_id").select("doc_id", h.alias("h"), "text", "lang", "subjects", F.lit("sample").alias("all"))
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["h", "doc_id"])
-        labels = [None if x is None else set(x) for x in f["subjects"]]
-        return pd.DataFrame({"model": [pickle.dumps(train(f["text"].tolist(), f["lang"].tolist(), labels, subjects))]})
-
-    # one task, away from the driver; its input is bounded by the two parameters
-    found = rows.groupBy("all").applyInPandas(one, "model binary").first()
-    return pickle.loads(found["model"]) if found else train([], [], [], subjects)
+    chosen = written(named.orderBy(h, "doc_id").limit(most_labelled))
+    rows = maybe_in(texts(documents, "lang"), "doc_id", chosen.select("doc_id")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    rows = written(rows.select("doc_id", h.alias("h"), "text", "lang", "subjects"))
+    till = F.sum(F.octet_length("text").cast("long")).over(W.orderBy("h", "doc_id"))  # at most most_labelled rows
+    within = rows.select("doc_id", "h", till.alias("till")).where(F.col("till") <= most_bytes).select("doc_id")
+    found = rows.join(F.broadcast(within), "doc_id", "left_semi").orderBy("h", "doc_id").toArrow()
+
+    seen = written(texts(documents).mapInArrow(_seen, "doc_id long, text long, word long, n long"))
+    top = seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most_words).select("word").toArrow()
+    frequent = top["word"].to_numpy().view(np.uint64)
+    given = sample(found["text"].to_pylist(), found["lang"].to_pylist(), [set(x) for x in found["subjects"].to_pylist()], subjects, frequent)
+    size = len(given.model.vocabulary)
+    asked = np.unique(pair_keys(given.model.ids(given.hash), given.sent, size)) if len(given.hash) else np.zeros(0, np.int64)
+    asked = asked[asked >= 0]
+
+    first = seen.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    again = written(seen.where("text is not null").select("doc_id").join(first, "doc_id", "left_anti").distinct())
+    each = texts(documents).join(again, "doc_id", "left_anti").select("text")
+    shared = spark.sparkContext.broadcast((given.model, asked))
+    counts = each.mapInArrow(_counted(shared), "kind byte, lang byte, key long, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, lang, key, n = (counts[c].to_numpy() for c in ("kind", "lang", "key", "n"))
+    words, before = np.zeros((2, len(CODES), size + 1), np.int64)
+    for k, into in ((0, words), (2, before)):
+        into[lang[kind == k], key[kind == k]] = n[kind == k]
+    bigrams, times = [], []
+    for k in range(len(CODES)):
+        mine = np.flatnonzero((kind == 1) & (lang == k))
+        mine = mine[np.argsort(key[mine])]
+        bigrams.append(asked[key[mine]])
+        times.append(n[mine])
+
+    # away from the driver, in one task: its input is bounded as said
+    corpus = Corpus(words, bigrams, times, list(before))
+    job = spark.sparkContext.broadcast((given, corpus))
+    done = spark.range(1).mapInPandas(lambda frames: (pd.DataFrame({"model": [pickle.dumps(calibrated(*job.value))]}) for f in frames if len(f)), "model binary").first()
+    return pickle.loads(done["model"])
 
 
 SCHEMA = "doc_id long, subject string, n_about int, n_sentences int, score double"
@@ -285,8 +423,8 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("n_about
 def assign(documents: DataFrame, model: Model) -> DataFrame:
     """A row for each document and subject with any sentence, and one with subject null for all sentences about none.
 
-    score is the mean margin over the background of the sentences counted. Documents without text or without a sentence
-    of LEAST_WORDS words have no rows; repeated rows are counted each by itself.
+    score is the mean margin over the background of the sentences counted. Documents without text or words have no rows;
+    repeated rows are counted each by itself.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
