@@ -3,9 +3,13 @@
 A noisy channel: text was written in one encoding and read in another, perhaps twice, perhaps with bytes lost. Every
 frequent word of the corpus is sent through every channel; where a much rarer word of the corpus is what comes out, the
 documents that have it are suspects. So are those with a token, however frequent, that read back from several bytes a
-character is a shorter word of the corpus. Frequencies are counted over distinct texts. In a suspect's text every channel for which there is evidence spans a lattice: its
-bytes read back, with wildcards for bytes that were lost, which corpus words of the same shape fill. A Viterbi search
-over words, under corpus frequencies, finds the spans and their channels.
+character is a shorter word of the corpus. Frequencies are counted over distinct texts.
+
+In a suspect's text each token is, for every channel with evidence, a lattice over the bytes that it is made of: a lost
+byte is a wildcard, the edges are the characters that some bytes can be, and the best path through it is the token with
+a mark for every character that can't be told. Corpus words that match the marks fill them, the likelier the more frequent
+they are. A Viterbi search over the words of the text, under corpus frequencies, finds the spans, their channels and the
+words that were lost.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ MULTIBYTE, SINGLE = 3.0, 0.4
 #: Least log odds of a token that reads back from several bytes a character as a shorter known word, however frequent.
 STRUCTURE = 1.0
 
+#: A lost character is filled if the most frequent of the words that match has this part of all their occurrences.
+SURE = 0.8
+
 LOST = "�"
 #: A run of ASCII letters and non-ASCII characters (white space among them, as damage makes it).
 _TOKEN = re.compile(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -104,8 +111,78 @@ def shape(word: str) -> str:
     return re.sub(r"[^\x00-\x7f]", "?", word)
 
 
+def gaps(word: str) -> set[str]:
+    """The word with a mark for each of its characters that aren't ASCII, one at a time and all at once."""
+    at = [i for i, c in enumerate(word) if c > "\x7f"]
+    found = {word[:i] + LOST + word[i + 1 :] for i in at} | {re.sub(r"[^\x00-\x7f]", LOST, word)}
+    return {x for x in found if len(x) > 2 and 2 * x.count(LOST) <= len(x)}
+
+
+def _bytes(token: str, read: str) -> list[int | None]:
+    """The bytes that the token was read from, None for those that were lost."""
+    found: list[int | None] = []
+    for c in token:
+        try:
+            found.append(None if c == LOST else _encode(c, read)[0])
+        except UnicodeError:
+            found += c.encode("utf-8", "surrogatepass")  # was never in the channel
+    return found
+
+
+def lattice(data: list[int | None]) -> str:
+    """The best path through a lattice of UTF-8 characters over bytes with wildcards: LOST for each that can't be told.
+
+    Edges are whole characters of one to four bytes. A character with a wildcard costs one, a byte that is in no character
+    more: of equally dear paths the one with longer characters is taken.
+    """
+    n = len(data)
+    cost, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    for i in range(n):
+        if cost[i] == math.inf:
+            continue
+        lead = data[i]
+        for size in (1, 2, 3, 4):
+            part = data[i : i + size]
+            low, high = ((0x00, 0x7F), (0xC2, 0xDF), (0xE0, 0xEF), (0xF0, 0xF4))[size - 1]
+            if len(part) < size or lead is not None and not low <= lead <= high or any(b is not None and not 0x80 <= b <= 0xBF for b in part[1:]):
+                continue
+            if None in part:
+                step, c = 1.0 + 0.1 * (4 - size) * (lead is None), LOST
+            else:
+                try:
+                    step, c = 0.0, bytes(part).decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+            if cost[i] + step <= cost[i + size]:
+                cost[i + size], back[i + size] = cost[i] + step, (i, c)
+        if cost[i] + 2.5 < cost[i + 1]:
+            cost[i + 1], back[i + 1] = cost[i] + 2.5, (i, LOST)
+    out, i = [], n
+    while i:
+        i, c = back[i]
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def pattern(token: str, name: str) -> str | None:
+    """The token as it went into a channel, with LOST for what can't be told; None if the channel explains nothing of it."""
+    steps = channels()[name]
+    if steps[0][0] != "utf-8" or len(steps) > 1:
+        return None
+    x = lattice(_bytes(token, steps[0][1]))
+    return x if x != token and LOST in x and x.count(LOST) <= max(1, len(x) // 3) and len(x) < len(token) else None
+
+
+@functools.cache
+def _many() -> list[str]:
+    """The channels from several bytes a character, once."""
+    return [k for k, v in channels().items() if v[0][0] == "utf-8" and len(v) == 1]
+
+
 def _tokens(text: str) -> set[str]:
     found = set() if text.isascii() else {t for t in set(_TOKEN.findall(text)) if not t.isascii()}
+    if LOST in text:  # and what lost bytes leave of words
+        found |= {x for t in list(found) if LOST in t for name in _many() if (x := pattern(t, name))}
     return found.union(t for t in _ASKED.findall(text) if len(t) > 2) if "?" in text else found
 
 
@@ -139,6 +216,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x = damaged(w, name)
                     if x and x != w and not x.isascii() and not x.isspace():  # a no-break space is no word
                         rows.append((x, name, w, word, n))
+                rows += [(x, LOST, w, word, n) for x in gaps(w)]
             s = shape(word)
             if re.search(r"\?[a-zA-Z]", s):
                 rows.append((s, "?", word, word, n))
@@ -183,19 +261,26 @@ def _odds(token: str, n: int, name: str, known: dict[str, dict[str, int]]) -> tu
         if many and len(x) < len(token):
             return (MULTIBYTE if rare else max(MULTIBYTE - math.log(n), 0.0 if x.isalpha() else -math.inf)), False
         return (SINGLE if rare and x.isalpha() >= token.isalpha() else -SINGLE - math.log(n)), False
-    x = mended(token, name, "replace")
+    x = pattern(token, name) if LOST in token else mended(token, name, "replace")
     if x is not None and x.count(LOST) <= max(1, len(x) // 3) and len(x) < len(token):
-        return -1.5, True
+        return max(-1.5, math.log(known[x][LOST] / n) if LOST in known.get(x, ()) else -1.5), True
     return -30.0, False
 
 
+def filled(text: str, fill: dict[str, str]) -> str:
+    """The text with what was lost filled by the corpus words that match, where those tell it."""
+    if LOST in text:
+        text = _TOKEN.sub(lambda m: fill.get(m[0], m[0]), text)
+    return _ASKED.sub(lambda m: fill.get(m[0], m[0]), text) if "?" in text else text
+
+
 def restore(text: str, counts: dict[str, int], known: dict[str, dict[str, int]], strong: set[str]) -> tuple[str, bool, list[str]]:
     """(restored text, were characters lost, channels found).
 
     counts: in how many distinct texts the text's tokens are; known: by token, in how many the words are that each channel
     makes it from; strong: the channels for which there is evidence in the text.
     """
-    names = sorted(strong - {"?"}, key=list(channels()).index)
+    names = sorted(strong & set(channels()), key=list(channels()).index)
     found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     found = [(s, e) for s, e in found if not text[s:e].isascii()]
     used: list[str] = []
@@ -236,7 +321,7 @@ def restore(text: str, counts: dict[str, int], known: dict[str, dict[str, int]],
                     for p, q in found[i : j + 1]:
                         y = mended(text[p:q], name)
                         if y is None:
-                            y, lost = mended(text[p:q], name, "replace") or text[p:q], True
+                            y, lost = pattern(text[p:q], name) or mended(text[p:q], name, "replace") or text[p:q], True
                         x += text[last:p] + y
                         last = q
                 out += [text[at:s], x]
@@ -262,11 +347,11 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[e["token"]][e["channel"]] = e["n_word"]
                 if e["strong"]:
                     strong.add(e["channel"])
-                if e["channel"] == "?":
+                if e["channel"] in ("?", LOST) and e["n_word"] >= SURE * e["n_all"]:
                     fill[e["token"]] = e["word"]
             text, lost, used = restore(r["text"], counts, known, strong)
             if lost and fill:
-                text = _ASKED.sub(lambda m: fill.get(m[0], m[0]), text)
+                text = filled(text, fill)
             if lost or text != r["text"]:
                 rows.append((r["doc_id"], text, lost, used, "" if lost else hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()))
         if rows:
@@ -276,8 +361,8 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repaired(documents: DataFrame) -> DataFrame:
     """doc_id, restored, lost, channels, restored_md5 of the documents with text that was decoded wrongly.
 
-    Where characters were lost, restored_md5 is '' and restored the likeliest text, with what can't be told left as it
-    is. Texts that only quote such characters, null and empty texts have no rows; a row that is repeated whole counts once.
+    Where characters were lost, restored_md5 is '' and restored the likeliest text: words that the corpus tells are
+    filled, what can't be told is left as it is. Texts that only quote such characters, null and empty texts have no rows; a row that is repeated whole counts once.
     """
     pairs = written(texts(documents).mapInArrow(_list, "doc_id long, token string, of long"))
     each = written(pairs.groupBy("token").agg(F.countDistinct("of").alias("n")))
@@ -289,12 +374,12 @@ def repaired(documents: DataFrame) -> DataFrame:
     back = counts.mapInArrow(_read_back, "token string, channel string, word string, base string, n_word long").drop("n_word")
     back = back.join(lower.select(F.col("l").alias("base"), F.col("m").alias("n_word")), "base").join(counts, "token").withColumn("strong", F.lit(True))
     made = written(made.unionByName(back))
-    garbled = made.where("strong and channel <> '?'").select(F.col("token").alias("base")).distinct()  # frequent, but a damaged form itself
-    words = written(made.join(garbled, "base", "left_anti").groupBy("token", "channel").agg(F.max(F.struct("n_word", "word")).alias("w"), F.max("strong").alias("strong")).select("token", "channel", "w.*", "strong"))
+    garbled = made.where(F.col("strong") & ~F.col("channel").isin("?", LOST)).select(F.col("token").alias("base")).distinct()  # frequent, but a damaged form itself
+    words = written(made.join(garbled, "base", "left_anti").groupBy("token", "channel").agg(F.max(F.struct("n_word", "word")).alias("w"), F.max("strong").alias("strong"), F.sum("n_word").alias("n_all")).select("token", "channel", "w.*", F.when(F.col("channel") == LOST, F.lit(False)).otherwise(F.col("strong")).alias("strong"), "n_all"))
     plain = texts(documents).where(F.col("text").contains(LOST) | F.col("text").rlike(r"\?{2,}[,;:.!]?\s+\?")).select("doc_id")
     suspects = written(pairs.join(words.where("strong").select("token").distinct(), "token", "left_semi").select("doc_id").unionByName(plain).distinct())
     mine = written(maybe_in(pairs, "doc_id", suspects).join(suspects, "doc_id", "left_semi").distinct())
     tokens = mine.join(counts, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "n")).alias("tokens"))
-    evidence = mine.join(words, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "channel", "word", "n_word", "strong")).alias("evidence"))
+    evidence = mine.join(words, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "channel", "word", "n_word", "strong", "n_all")).alias("evidence"))
     found = maybe_in(texts(documents), "doc_id", suspects).join(suspects, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return found.join(tokens, "doc_id", "left").join(evidence, "doc_id", "left").mapInArrow(_restore, RESTORED)

@@ -248,7 +248,7 @@ def test_every_long_shared_span_has_a_chosen_suffix():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 500).astype(np.uint64)
     n = overlap.PREFIX + overlap.WINDOW - 1
-    for at in range(0, 370, 7):
+    for at in range(0, 360, 7):
         b[100 : 100 + n] = a[at : at + n]
         h = np.concatenate((a, b))
         key, doc, pos = overlap.chosen(h, np.repeat([0, 1], [400, 500]))
@@ -381,6 +381,25 @@ def test_encodings_come_back(spark, channel):
     assert got == {**{i: hashlib.md5(clean[i].encode()).hexdigest() for i in broken}, 82: ""}
 
 
+def test_lattices_of_bytes_with_wildcards():
+    lost = encoding.LOST
+    for word, gone in (("größe", 3), ("größe", 5), ("naïve", 2), ("日本語", 4)):
+        data = list(word.encode())
+        data[gone] = None
+        assert [a if a == b else lost for a, b in zip(word, encoding.lattice(data))] == list(encoding.lattice(data)) and encoding.lattice(data).count(lost) == 1
+    assert encoding.lattice(list("für".encode())) == "für" and encoding.lattice([0xC3]) == lost
+    assert encoding.pattern("gr\u00c3\u00b6\u00c3\ufffde", "utf-8>cp1252") == f"grö{lost}e"
+
+
+def test_lost_characters_that_the_corpus_determines(spark):
+    rng = random.Random(7)
+    words = ["über", "größe", "später", "müde", "schön", "natürlich", "das", "ist", "ein", "Haus", "mäuse", "mause"]
+    clean = [" ".join(rng.choice(words) for _ in range(25)) for _ in range(60)]
+    lost = ["das ist sp\ufffdter sch\ufffdn", "das gr\u00c3\u00b6\u00c3\ufffde ist nat\u00c3\u00bcrlich m\u00c3\u00bcde \u00c3\u00bcber", "m\ufffduse und xy\ufffdz"]
+    got = {r["doc_id"]: (r["restored"], r["restored_md5"]) for r in encoding.repaired(docs(spark, clean + lost)).collect()}
+    assert got == {60: ("das ist später schön", ""), 61: ("das größe ist natürlich müde über", ""), 62: ("mäuse und xy\ufffdz", "")}
+
+
 def test_encodings_of_odd_rows(odd, none):
     assert encoding.repaired(odd).count() == 0 and encoding.repaired(none).count() == 0
 
