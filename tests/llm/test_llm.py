@@ -438,7 +438,22 @@ def test_languages_held_out(spark, odd, none):
     assert {r["doc_lang"] for r in found.where("doc_id = 204").collect()} == {"ru"}
     assert all(0 <= r["confidence"] <= 1 for r in found.collect())
     assert {r["doc_id"] for r in language.stretches(odd, p).collect()} == {4, 5, 6, 7, 8}
-    assert language.stretches(none, p).count() == 0 and language.stretches(odd, language.fit(none)).count() == 6
+    other = language.stretches(docs(spark, ["这是一段关于天气的中文文本。", "Αυτό είναι ένα ελληνικό κείμενο για τον καιρό.", say("fr")], lang="en"), p)
+    assert [(r["lang"], r["doc_lang"]) for r in other.orderBy("doc_id").collect()] == [("und", "und"), ("und", "und"), ("fr", "fr")]
+    assert language.stretches(none, p).count() == 0 and {r["lang"] for r in language.stretches(odd, language.fit(none)).collect()} == {"und"}
+
+
+def test_long_sentences_are_compared_whole():
+    words = sentence(random.Random(5), 900).lower()
+    h, sent, doc, *_ = language.grams([words])
+    tops = [np.unique(h)[::-1][:language.PLACES]] + [np.zeros(0, np.uint64)] * (len(language.CODES) - 1)
+    p = language.ranked(tops)
+    got, share = p.distances(h, sent, len(doc))
+    place = {int(g): i for i, g in enumerate(tops[0])}
+    counts = Counter(int(x) for x in h if int(x) in place)
+    order = sorted(counts, key=lambda g: (-counts[g], p.ids(np.array([g], np.uint64))[0]))
+    assert len(order) > 600 and got[0, 0] == pytest.approx(sum(min(1, abs(place[g] - i) / language.PLACES) for i, g in enumerate(order)), rel=1e-3)
+    assert share[0] == pytest.approx(sum(counts.values()) / len(h))
 
 
 @pytest.mark.parametrize(("lang", "code"), [("en-US", "en"), ("deu", "de"), ("German", "de"), ("PT", "pt"), ("es-419", "es"), ("und", None), ("", None), (None, None), ("ca", None)])
