@@ -71,10 +71,10 @@ def uses(sized: DataFrame, wanted: DataFrame, seed: int = SEED, shard_tokens: in
     full = F.least(F.floor(F.col("need") / F.col("have")), F.col("max_repeats")).cast("long")
     w = wanted.where("have > 0").withColumn("full", full).withColumn("rest", F.when(F.col("full") < F.col("max_repeats"), F.col("need") - F.col("full") * F.col("have")).otherwise(F.lit(0.0)))
     passes = w.withColumn("use_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).where("use_no < full or rest > 0")
-    each = passes.join(blocks, "source").withColumn("h", F.xxhash64(F.lit(seed), "recipe_id", "source", "use_no", "block"))
+    each = passes.join(blocks.hint("merge"), "source").withColumn("h", F.xxhash64(F.lit(seed), "recipe_id", "source", "use_no", "block"))
     till = F.sum("block_tokens").over(W.partitionBy("recipe_id", "source", "use_no").orderBy("h", "block").rowsBetween(W.unboundedPreceding, W.currentRow))
     each = each.withColumn("till", till).withColumn("take", F.when(F.col("use_no") < F.col("full"), F.col("block_tokens").cast("double")).otherwise(F.col("rest") - F.col("till") + F.col("block_tokens"))).where("take > 0")
-    each = each.withColumn("j", F.row_number().over(W.partitionBy("recipe_id", "source").orderBy(F.xxhash64(F.lit(seed + 1), "h"), "use_no", "block")) - 1)
+    each = each.withColumn("j", F.row_number().over(W.partitionBy("recipe_id", "source").orderBy(F.xxhash64(F.lit(seed + 1), "h"), "use_no", "block")) - 1)  # of at most MOST_BLOCKS x repeats
     each = written(each.select("recipe_id", "source", "use_no", "block", "j", "take", (F.col("take") >= F.col("block_tokens")).alias("whole")))
 
     quotas = each.groupBy("recipe_id", "source").agg(F.count("*").alias("quota")).groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("quotas"))
@@ -87,11 +87,11 @@ def uses(sized: DataFrame, wanted: DataFrame, seed: int = SEED, shard_tokens: in
                 names, counts = [q["source"] for q in r.quotas], np.array([q["quota"] for q in r.quotas])
                 lo, hi = leaf(zlib.crc32(f"{seed} {r.recipe_id}".encode()), counts, r.shards, r.shard)
                 n = hi - lo
-                yield pd.DataFrame({"recipe_id": r.recipe_id, "source": np.repeat(np.array(names, object), n), "shard": r.shard, "j": np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)})
+                yield pd.DataFrame({"recipe_id": r.recipe_id, "source": np.repeat(np.array(names, object), n), "shard": r.shard, "j": np.arange(n.sum(), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)})
 
-    dealt = leaves.mapInPandas(deal, "recipe_id string, source string, shard int, j int")
-    chosen = each.join(dealt, ["recipe_id", "source", "j"])
-    rows = blocked.join(chosen, ["source", "block"])
+    dealt = leaves.repartition("recipe_id", "shard").mapInPandas(deal, "recipe_id string, source string, shard int, j long")
+    chosen = each.join(dealt.hint("merge"), ["recipe_id", "source", "j"])  # as many rows as block uses: never broadcast
+    rows = blocked.join(chosen.hint("merge"), ["source", "block"])
 
     def part(f: pd.DataFrame) -> pd.DataFrame:
         """Of one block, in permuted order, every document that still fits."""
