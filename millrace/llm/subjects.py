@@ -30,7 +30,7 @@ from .langcodes import CODES, normal
 
 #: Defaults of fit(): labelled documents to train on, those with the least hash of doc_id, and most bytes of their texts;
 #: words of the vocabulary beside those of the sample.
-MOST_LABELLED, MOST_BYTES, MOST_WORDS = 12_000, 48 << 20, 100_000
+MOST_LABELLED, MOST_BYTES, MOST_WORDS = 12_000, 48 << 20, 30_000
 #: Part of the labelled documents that the margin is calibrated on.
 HELD_OUT = 5
 SHARE = 0.2
@@ -191,7 +191,7 @@ def sample(strings: list[str], langs: list[str | None], labels: list[set[str]],
     if not len(vocabulary):
         vocabulary = np.zeros(1, np.uint64)
     size, n_lang, n_sub = len(vocabulary), len(CODES), len(subjects)
-    model = Model(subjects, vocabulary, np.zeros((size + 1, n_lang), np.float32), np.full((n_lang, size + 1, n_sub), -5, np.float32), [np.zeros(0, np.int64)] * n_lang, [np.zeros((0, n_sub), np.float32)] * n_lang)
+    model = Model(subjects, vocabulary, np.zeros((size + 1, n_lang), np.float32), np.zeros((0, 0, n_sub), np.float32), [], [])  # train() makes the rest
     has = np.zeros((len(strings), n_sub), bool)
     for i, x in enumerate(labels):
         for s in x:
@@ -371,8 +371,8 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled
     """Trains on at most most_labelled labelled documents with at most most_bytes of whole texts; everything else is counted
     over all distinct texts. Labels without subject or of unknown subjects are left out.
 
-    What reaches the driver is bounded by these parameters: the sample's texts, and counts of its bigrams and of at most
-    most_words words beside its own.
+    The sample is read, and the models are trained, by one task whose input is bounded by these parameters: the sample's
+    texts, and counts of its bigrams and of at most most_words words beside its own. The model reaches the driver.
     """
     spark = documents.sparkSession
     subjects = sorted(r[0] for r in areas.select("subject").where("subject is not null").distinct().collect())
@@ -383,36 +383,44 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled
     rows = written(rows.select("doc_id", h.alias("h"), "text", "lang", "subjects"))
     till = F.sum(F.octet_length("text").cast("long")).over(W.orderBy("h", "doc_id"))  # at most most_labelled rows
     within = rows.select("doc_id", "h", till.alias("till")).where(F.col("till") <= most_bytes).select("doc_id")
-    found = rows.join(F.broadcast(within), "doc_id", "left_semi").orderBy("h", "doc_id").toArrow()
+    found = rows.join(within, "doc_id", "left_semi")
 
     seen = written(texts(documents).mapInArrow(_seen, "doc_id long, text long, word long, n long"))
-    top = seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most_words).select("word").toArrow()
-    frequent = top["word"].to_numpy().view(np.uint64)
-    given = sample(found["text"].to_pylist(), found["lang"].to_pylist(), [set(x) for x in found["subjects"].to_pylist()], subjects, frequent)
-    size = len(given.model.vocabulary)
-    asked = np.unique(pair_keys(given.model.ids(given.hash), given.sent, size)) if len(given.hash) else np.zeros(0, np.int64)
-    asked = asked[asked >= 0]
-
-    first = seen.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    again = written(seen.where("text is not null").select("doc_id").join(first, "doc_id", "left_anti").distinct())
+    top = seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most_words).select("word")
+
+    def first(key: tuple, rows: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
+        """The sample; and apart from it what all tasks need to count: the vocabulary, languages and bigrams."""
+        rows = rows.sort_values(["h", "doc_id"])
+        given = sample(rows["text"].tolist(), rows["lang"].tolist(), [set(x) for x in rows["subjects"]], subjects, frequent["word"].to_numpy(np.int64).view(np.uint64))
+        asked = np.unique(pair_keys(given.model.ids(given.hash), given.sent, len(given.model.vocabulary))) if len(given.hash) else np.zeros(0, np.int64)
+        return pd.DataFrame({"given": [pickle.dumps(given)], "shared": [pickle.dumps((given.model, asked[asked >= 0]))]})
+
+    # one task, away from the driver: its input is bounded by the parameters. The null rows make it run on nothing, too.
+    one = lambda df: df.groupBy(F.lit(1).alias("all"))
+    some = found.unionByName(spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema)))
+    made = written(one(some).cogroup(one(top)).applyInPandas(lambda k, a, b: first(k, a.dropna(subset=["doc_id"]), b), "given binary, shared binary"))
+    shared = spark.sparkContext.broadcast(pickle.loads(made.select("shared").first()[0]))
+
+    reps = seen.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    again = written(seen.where("text is not null").select("doc_id").join(reps, "doc_id", "left_anti").distinct())
     each = texts(documents).join(again, "doc_id", "left_anti").select("text")
-    shared = spark.sparkContext.broadcast((given.model, asked))
-    counts = each.mapInArrow(_counted(shared), "kind byte, lang byte, key long, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    kind, lang, key, n = (counts[c].to_numpy() for c in ("kind", "lang", "key", "n"))
-    words, before = np.zeros((2, len(CODES), size + 1), np.int64)
-    for k, into in ((0, words), (2, before)):
-        into[lang[kind == k], key[kind == k]] = n[kind == k]
-    bigrams, times = [], []
-    for k in range(len(CODES)):
-        mine = np.flatnonzero((kind == 1) & (lang == k))
-        mine = mine[np.argsort(key[mine])]
-        bigrams.append(asked[key[mine]])
-        times.append(n[mine])
-
-    # away from the driver, in one task: its input is bounded as said
-    corpus = Corpus(words, bigrams, times, list(before))
-    job = spark.sparkContext.broadcast((given, corpus))
-    done = spark.range(1).mapInPandas(lambda frames: (pd.DataFrame({"model": [pickle.dumps(calibrated(*job.value))]}) for f in frames if len(f)), "model binary").first()
+    counts = each.mapInArrow(_counted(shared), "kind byte, lang byte, key long, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
+
+    def second(key: tuple, made: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        given, (model, asked) = pickle.loads(made["given"].iloc[0]), pickle.loads(made["shared"].iloc[0])
+        kind, lang, key, n = (counts[c].to_numpy(np.int64) for c in ("kind", "lang", "key", "n"))
+        words, before = np.zeros((2, len(CODES), len(model.vocabulary) + 1), np.int64)
+        for k, into in ((0, words), (2, before)):
+            into[lang[kind == k], key[kind == k]] = n[kind == k]
+        bigrams, times = [], []
+        for k in range(len(CODES)):
+            mine = np.flatnonzero((kind == 1) & (lang == k))
+            mine = mine[np.argsort(key[mine])]
+            bigrams.append(asked[key[mine]])
+            times.append(n[mine])
+        return pd.DataFrame({"model": [pickle.dumps(calibrated(given, Corpus(words, bigrams, times, list(before))))]})
+
+    done = one(made).cogroup(one(counts)).applyInPandas(second, "model binary").first()
     return pickle.loads(done["model"])
 
 
