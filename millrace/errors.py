@@ -1,4 +1,4 @@
-"""Errors with stable exit codes."""
+"""Errors with stable exit codes: 0 is success, 1 any other failure, 130 an interruption."""
 
 from __future__ import annotations
 
@@ -35,4 +35,25 @@ class EmptySplitError(DatasetError):
 
 
 class VerificationError(DatasetError):
+    """Artefacts that don't agree with what their manifest says."""
+
+
+class CapacityError(MillraceError):
+    """Nothing that was asked for fits."""
+
     exit_code = 4
+
+
+class CheckpointError(MillraceError):
+    exit_code = 5
+
+
+class RunError(MillraceError):
+    exit_code = 6
+
+
+class ExportError(MillraceError):
+    exit_code = 7
+
+
+INTERRUPTED = 130

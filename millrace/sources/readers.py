@@ -31,7 +31,7 @@ from ..operators.chunks import cuts
 
 #: Names that a text field or column may have, in order of preference; suffixes; limits; byte order marks.
 TEXT_FIELDS = ("text", "content", "body", "document", "raw_content")
-TEXT_COLUMNS = (*TEXT_FIELDS, "message", "sentence", "review", "comment", "description")
+TEXT_COLUMNS = ("text", "content", "body", "document", "review", "review_text", "message", "comment", "abstract", "sentence")
 KINDS = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "csv": "csv", "tsv": "csv", "docx": "docx", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite", "txt": "text", "text": "text", "md": "text", "rst": "text", "log": "text"}
 CODECS = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open, "lzma": lzma.open}
 MAX_JSON, MAX_DOCX, MAX_MEMBERS, MAX_ARCHIVE, MAX_FIELD = 128 << 20, 32 << 20, 20_000, 32 << 30, 16 << 20

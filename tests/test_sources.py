@@ -34,8 +34,8 @@ def corpus(tmp_path):
     (tmp_path / "e.csv").write_text('id,text\n1,"two\nlines"\n\n2,x,extra\n')
     (tmp_path / "f.docx").write_bytes(docx())
     db = sqlite3.connect(tmp_path / "g.db")
-    db.execute("CREATE TABLE posts (id INTEGER PRIMARY KEY, body TEXT)")
-    db.executemany("INSERT INTO posts VALUES (?, ?)", [(2, "later"), (1, "sooner"), (3, None)])
+    db.execute("CREATE TABLE letters (nr INTEGER PRIMARY KEY, content TEXT)")
+    db.executemany("INSERT INTO letters VALUES (?, ?)", [(2, "later"), (1, "sooner"), (3, None)])
     db.commit()
     db.close()
     with zipfile.ZipFile(tmp_path / "h.zip", "w") as z:
@@ -117,3 +117,16 @@ def test_failure_leaves_what_was_there(spark, tmp_path):
     with pytest.raises(EmptySplitError):
         shards.write(df, str(out), 500, shard_tokens=100)
     assert [p.name for p in tmp_path.iterdir()] == ["set"] and (out / "keep").exists()
+
+
+@pytest.mark.parametrize(("k", "name"), list(enumerate(readers.TEXT_COLUMNS)))
+def test_columns_in_order_of_preference(k, name):
+    later = readers.TEXT_COLUMNS[k:]
+    assert readers.column(["id", *reversed(later), "title"], None, "a.csv") == len(later)
+    assert readers.column(["id", f" {name.upper()} "], None, "a.csv") == 1
+
+
+def test_columns_that_are_no_text():
+    for header in (["id", "raw_content"], ["id", "description"], ["a;b"]):
+        with pytest.raises(DatasetFormatError):
+            readers.column(header, None, "a.csv")
