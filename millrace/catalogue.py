@@ -321,27 +321,34 @@ def manifest_against_shards(s, d):
     return j.select("content_hash", "split_name", "name", state.alias("state"))
 
 
-def _words(s, d):
-    """Words of conversations with their places and the document's trained spans."""
+def _word_counts(s, d):
+    """doc_id and, of the words of each conversation, how many there are, touch a trained span, and touch one in part.
+
+    Within the row: pieces are walked with their place, nothing is exploded or shuffled.
+    """
     t = _docs(s, d).where("text is not null and size(trained_spans) > 0")
-    w = t.select("doc_id", "trained_spans", F.posexplode(F.regexp_extract_all("text", F.lit(rf"{text.SPACE}*[^{text.SPACE[1:]}+"), 0)).alias("k", "piece"))
-    till = F.sum(F.length("piece")).over(W.partitionBy("doc_id").orderBy("k"))
-    bare = F.length(F.regexp_replace("piece", f"^{text.SPACE}+", ""))
-    return w.select("doc_id", "trained_spans", (till - bare).alias("lo"), till.alias("hi"))
+    zero = F.lit(0).cast("long")
+
+    def step(a, piece):
+        hi = a["at"] + F.length(piece)
+        lo = hi - F.length(F.regexp_replace(piece, f"^{text.SPACE}+", ""))
+        inside = F.aggregate("trained_spans", zero, lambda n, x: n + F.greatest(zero, F.least(hi, x["span_end"].cast("long")) - F.greatest(lo, x["span_start"].cast("long"))))
+        touches = F.exists("trained_spans", lambda x: (hi > x["span_start"]) & (lo < x["span_end"]))
+        return F.struct(hi.alias("at"), (a["words"] + 1).alias("words"), (a["trained"] + touches.cast("long")).alias("trained"), (a["straddling"] + ((inside > 0) & (inside < hi - lo)).cast("long")).alias("straddling"))
+
+    start = F.struct(zero.alias("at"), zero.alias("words"), zero.alias("trained"), zero.alias("straddling"))
+    pieces = F.regexp_extract_all("text", F.lit(rf"{text.SPACE}*[^{text.SPACE[1:]}+"), 0)
+    return t.select("doc_id", F.aggregate(pieces, start, step).alias("w")).select("doc_id", "w.*").where("words > 0")
 
 
 @_query
 def mask_overlap(s, d):
-    w = _words(s, d)
-    inside = F.exists("trained_spans", lambda x: (w["hi"] > x["span_start"]) & (w["lo"] < x["span_end"]))
-    return w.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(inside).alias("trained"))
+    return _word_counts(s, d).select("doc_id", "words", "trained")
 
 
 @_query
 def straddling(s, d):
-    w = _words(s, d)
-    n = F.aggregate("trained_spans", F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(0), F.least(w["hi"], x["span_end"]) - F.greatest(w["lo"], x["span_start"])))
-    return w.withColumn("n", n).agg(F.count_if((F.col("n") > 0) & (F.col("n") < F.col("hi") - F.col("lo"))).alias("straddling"), F.count("*").alias("words"))
+    return _word_counts(s, d).agg(F.coalesce(F.sum("straddling"), F.lit(0)).alias("straddling"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
 
 
 # --- run logs
