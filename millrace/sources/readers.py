@@ -1,13 +1,14 @@
 """Mixed document sources as one DataFrame: text, JSON Lines, JSON, CSV/TSV, DOCX, SQLite; gzip, bz2, xz; zip and tar.
 
-The driver lists files and the members of archives; a source is then read whole by one task, which opens a container
-once for all its members. Spark's own readers aren't used: they hide names that begin with an underscore, drop empty
+The driver lists files and the members of archives; a source is then read by one task, which opens a container once for
+all its members. Lines, and rows of tables and databases, pass through it; a text or a JSON document is held whole. Spark's own readers aren't used: they hide names that begin with an underscore, drop empty
 files, break lines at a lone carriage return, replace undecodable bytes and don't know xz.
 """
 
 from __future__ import annotations
 
 import bz2
+import codecs
 import csv
 import gzip
 import io
@@ -153,28 +154,46 @@ def _open(path: str, containers: dict, member: str | None, codec: str | None):
     return CODECS[codec](raw, "rb") if codec else raw
 
 
-def decode(data: bytes, encoding: str, source: str) -> str:
-    """Strictly: an undecodable byte is an error that names its place, never a replacement character."""
-    for mark, name in BOMS:
+def decode(data: bytes, encoding: str, source: str, at: int = 0) -> str:
+    """Strictly: an undecodable byte is an error that names its place, never a replacement character.
+
+    at: the place of data in the source; only at the beginning of a source a byte order mark is looked for.
+    """
+    for mark, name in BOMS if at == 0 else ():
         if data.startswith(mark):
             if encoding not in ("utf-8", "utf8") and encoding.replace("-", "")[:5] != name.replace("-", "")[:5]:
                 raise DatasetDecodeError(f"{source} has a byte order mark of {name}, not {encoding}")
             encoding = name
             break
     wide = encoding.startswith(("utf-16", "utf-32"))
-    if not wide and (at := data.find(b"\0", 0, 1 << 20)) >= 0:
-        raise DatasetFormatError(f"{source} holds a zero byte at {at} and is no text")
+    if not wide and (zero := data.find(b"\0", 0, 1 << 20)) >= 0:
+        raise DatasetFormatError(f"{source} holds a zero byte at {at + zero} and is no text")
     try:
         return data.decode(encoding)
     except UnicodeDecodeError as e:
-        raise DatasetDecodeError(f"{source}: byte {e.start} ({data[e.start:e.end].hex()}) is not {encoding}", at=e.start) from e
+        raise DatasetDecodeError(f"{source}: byte {at + e.start} ({data[e.start:e.end].hex()}) is not {encoding}", at=at + e.start) from e
+
+
+def _undecodable(f, encoding: str) -> int | None:
+    """The place of the first byte of a file that can't be decoded, a part of the file at a time."""
+    decoder, at = codecs.getincrementaldecoder(encoding)(), 0
+    while True:
+        data = f.read(1 << 20)
+        held = len(decoder.getstate()[0])
+        try:
+            decoder.decode(data, not data)
+        except UnicodeDecodeError as e:
+            return at - held + e.start
+        if not data:
+            return None
+        at += len(data)
 
 
 class _Rows:
     """What one source yields: documents, and counters of the rest."""
 
     def __init__(self, source: str, o: Options) -> None:
-        self.source, self.o, self.ordinal, self.rows, self.counts = source, o, 0, [], {}
+        self.source, self.o, self.ordinal, self.rows, self.counts, self.chars = source, o, 0, [], {}, 0
 
     def count(self, why: str, n: int = 1) -> None:
         self.counts[why] = self.counts.get(why, 0) + n
@@ -187,6 +206,7 @@ class _Rows:
     def keep(self, text: str, offset: int) -> None:
         if len(text.strip()) >= max(1, self.o.min_chars):
             self.rows.append((self.ordinal, offset, text))
+            self.chars += len(text)
             self.ordinal += 1
         else:
             self.count("short_documents")
@@ -218,13 +238,14 @@ def _strict(constant: str):
     raise ValueError(constant)
 
 
-def _jsonl(data: bytes, rows: _Rows) -> None:
+def _jsonl(f, rows: _Rows) -> Iterator[None]:
+    """A line at a time; byte offsets are those of the source."""
     if rows.o.encoding.startswith(("utf-16", "utf-32")):
         raise DatasetFormatError(f"{rows.source}: JSON Lines must be in an encoding with one-byte line ends")
     at, state = 0, {}
-    for n, line in enumerate(data.split(b"\n"), 1):
+    for n, line in enumerate(f, 1):
         if line.strip():
-            text = decode(line, rows.o.encoding, rows.source)
+            text = decode(line.removesuffix(b"\n"), rows.o.encoding, rows.source, at)
             try:
                 record = json.loads(text, parse_constant=_strict)
             except ValueError:
@@ -233,7 +254,8 @@ def _jsonl(data: bytes, rows: _Rows) -> None:
                 value = _value(record, rows, state)
                 if value is not None:
                     rows.keep(value, at)
-        at += len(line) + 1
+        at += len(line)
+        yield
 
 
 def _json(data: bytes, rows: _Rows) -> None:
@@ -276,10 +298,17 @@ def column(header: list[str], wanted: str | None, source: str) -> int:
     raise DatasetFormatError(f"{source}: which of {', '.join(header)} is the text?", "Name the column.")
 
 
-def _csv(data: bytes, rows: _Rows) -> None:
+def _csv(f, rows: _Rows) -> Iterator[None]:
+    """A row at a time. f is decoded as it is read; an undecodable byte ends it with an error."""
     csv.field_size_limit(MAX_FIELD)
     delimiter = "\t" if re.search(r"\.tsv(\.\w+)?$", rows.source.lower()) else ","
-    reader = csv.reader(io.StringIO(decode(data, rows.o.encoding, rows.source), newline=""), delimiter=delimiter)
+    raw = io.BufferedReader(f, 1 << 20) if not isinstance(f, io.BufferedReader) else f
+    head = raw.peek(1 << 20)
+    encoding = next((name for mark, name in BOMS if head.startswith(mark)), rows.o.encoding)
+    decode(head[:64].split(b"\n")[0] if encoding == "utf-8-sig" else b"", rows.o.encoding, rows.source)  # a mark that contradicts the encoding
+    if not encoding.startswith(("utf-16", "utf-32")) and (zero := head.find(b"\0")) >= 0:
+        raise DatasetFormatError(f"{rows.source} holds a zero byte at {zero} and is no text")
+    reader = csv.reader(io.TextIOWrapper(raw, encoding, "strict", newline=""), delimiter=delimiter)
     try:
         header = next(reader, None)
         if header is None:
@@ -294,6 +323,7 @@ def _csv(data: bytes, rows: _Rows) -> None:
             if len(row) > len(header):
                 rows.count("extra_field_rows")
             rows.keep(row[at], 0)
+            yield
     except csv.Error as e:
         raise DatasetFormatError(f"{rows.source} can't be read as CSV: {e}") from e
 
@@ -337,7 +367,7 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def _sqlite(path: str, rows: _Rows) -> None:
+def _sqlite(path: str, rows: _Rows) -> Iterator[None]:
     """One column of one table, in a pinned order. Views, internal and shadow tables aren't choices."""
     db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     try:
@@ -369,31 +399,58 @@ def _sqlite(path: str, rows: _Rows) -> None:
                 rows.bad(f"column {text} holds a {type(value).__name__}")
             else:
                 rows.keep(value or "", 0)
+            yield
     finally:
         db.close()
 
 
-def _read(relative: str, path: str, member: str | None, kind: str, codec: str | None, o: Options, containers: dict) -> _Rows:
-    rows = _Rows(relative, o)
+def _parts(path: str, member: str | None, kind: str, codec: str | None, containers: dict, rows: _Rows) -> Iterator[None]:
+    """Reads a source into rows, which may be emptied at every step. Lines, rows of tables and of databases are read one at
+    a time; texts, JSON documents and DOCX, which are one value, whole."""
+    o, relative = rows.o, rows.source
     try:
         if kind == "sqlite":
-            _sqlite(path, rows)
-            return rows
-        try:
+            yield from _sqlite(path, rows)
+        elif kind in ("jsonl", "csv"):
+            if o.on_error == "skip":  # a source that can't be decoded is skipped whole: nothing may have been emitted yet
+                with _open(path, containers, member, codec) as f:
+                    head = f.read(4)
+                encoding = next((name for mark, name in BOMS if head.startswith(mark)), o.encoding)
+                with _open(path, containers, member, codec) as f:
+                    if (at := _undecodable(f, encoding)) is not None:
+                        raise DatasetDecodeError(f"{relative}: byte {at} is not {encoding}", at=at)
+            with _open(path, containers, member, codec) as f:
+                yield from (_jsonl if kind == "jsonl" else _csv)(f, rows)
+        else:
             with _open(path, containers, member, codec) as f:
                 data = f.read()
-        except EOFError as e:
-            raise DatasetError(f"{relative} is cut off") from e
-        except (OSError, lzma.LZMAError, zipfile.BadZipFile, tarfile.TarError) as e:
-            raise DatasetError(f"{relative} is damaged: {e}") from e
-        {"text": lambda: rows.pieces(decode(data, o.encoding, relative)), "jsonl": lambda: _jsonl(data, rows), "json": lambda: _json(data, rows), "csv": lambda: _csv(data, rows), "docx": lambda: rows.pieces(docx_text(data, relative))}[kind]()
+            {"text": lambda: rows.pieces(decode(data, o.encoding, relative)), "json": lambda: _json(data, rows), "docx": lambda: rows.pieces(docx_text(data, relative))}[kind]()
+            yield
+    except UnicodeDecodeError as e:
+        with _open(path, containers, member, codec) as f:
+            at = _undecodable(f, e.encoding)
+        raise DatasetDecodeError(f"{relative}: byte {at} is not {e.encoding}", at=at) from e
     except DatasetDecodeError:
         if o.on_error == "fail":
             raise
         rows.rows, rows.counts = [], {"files_skipped": 1}
+    except EOFError as e:
+        raise DatasetError(f"{relative} is cut off") from e
+    except (OSError, lzma.LZMAError, zipfile.BadZipFile, tarfile.TarError) as e:
+        raise DatasetError(f"{relative} is damaged: {e}") from e
+
+
+def _read(relative: str, path: str, member: str | None, kind: str, codec: str | None, o: Options, containers: dict) -> _Rows:
+    """A whole source at once."""
+    rows = _Rows(relative, o)
+    for _ in _parts(path, member, kind, codec, containers, rows):
+        pass
     return rows
 
 
+#: Documents, and characters of them, after which a task hands on what it has of a source.
+FLUSH_ROWS, FLUSH_CHARS = 4096, 16 << 20
+
 SCHEMA = "source_idx long, source string, kind string, ordinal long, byte_offset long, text string, outcome string, n long"
 
 
@@ -406,14 +463,21 @@ def read(spark: SparkSession, root: str, options: Options | None = None) -> tupl
     frame = spark.createDataFrame(rows, "source_idx long, source string, path string, member string, kind string, codec string, size long")
     boxes = max(1, len({r[2] for r in rows}))
 
+    def handed(r, got: _Rows) -> pd.DataFrame:
+        out = [(r.source_idx, r.source, r.kind, k, at, t, None, None) for k, at, t in got.rows]
+        out += [(r.source_idx, r.source, r.kind, None, None, None, w, n) for w, n in [("documents", len(got.rows)), *got.counts.items()]]
+        got.rows, got.counts, got.chars = [], {}, 0
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"ordinal": "Int64", "byte_offset": "Int64", "n": "Int64"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         containers: dict = {}
         for f in frames:
             for r in f.itertuples():
-                got = _read(r.source, r.path, r.member, r.kind, r.codec, o, containers)
-                out = [(r.source_idx, r.source, r.kind, k, at, t, None, None) for k, at, t in got.rows]
-                out += [(r.source_idx, r.source, r.kind, None, None, None, w, n) for w, n in [("documents", len(got.rows)), *got.counts.items()]]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"ordinal": "Int64", "byte_offset": "Int64", "n": "Int64"})
+                got = _Rows(r.source, o)
+                for _ in _parts(r.path, r.member, r.kind, r.codec, containers, got):
+                    if len(got.rows) >= FLUSH_ROWS or got.chars >= FLUSH_CHARS:
+                        yield handed(r, got)
+                yield handed(r, got)
         for c in containers.values():
             c.close()
 

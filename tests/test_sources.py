@@ -10,6 +10,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.errors import DatasetDecodeError, DatasetError, DatasetFormatError, EmptySplitError, VerificationError
 from millrace.sources import readers, shards
@@ -130,3 +131,26 @@ def test_columns_that_are_no_text():
     for header in (["id", "raw_content"], ["id", "description"], ["a;b"]):
         with pytest.raises(DatasetFormatError):
             readers.column(header, None, "a.csv")
+
+
+def test_lines_and_rows_pass_through_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "FLUSH_ROWS", 7)
+    lines = "".join(f'{{"text": "zeile {i} ü"}}\n' for i in range(50)).encode()
+    (tmp_path / "a.jsonl").write_bytes(b"\xef\xbb\xbf" + lines)
+    (tmp_path / "b.csv.gz").write_bytes(gzip.compress("id,review_text,message\n".encode() + b"".join(f'{i},"row\n{i}",no\n'.encode() for i in range(50))))
+    d, counters, _ = readers.read(spark, str(tmp_path))
+    got = {k: [(r["ordinal"], r["text"]) for r in d.where(F.col("source") == k).orderBy("ordinal").collect()] for k in ("a.jsonl", "b.csv.gz")}
+    assert got == {"a.jsonl": [(i, f"zeile {i} ü") for i in range(50)], "b.csv.gz": [(i, f"row\n{i}") for i in range(50)]}
+    assert {r["source"]: r["n"] for r in counters.where("outcome = 'documents'").collect()} == {"a.jsonl": 50, "b.csv.gz": 50}
+
+
+@pytest.mark.parametrize(("name", "good"), [("a.jsonl", b'{"text": "ok"}\n'), ("a.csv", b"text\nok\n")])
+def test_places_of_undecodable_bytes_are_those_of_the_source(tmp_path, name, good):
+    data = good * 3 + b'"\xff"\n'
+    (tmp_path / name).write_bytes(data)
+    source = readers.discover(str(tmp_path)).sources[0]
+    with pytest.raises(DatasetDecodeError) as e:
+        readers._read(*source[:5], readers.Options(), {})
+    assert e.value.details["at"] == data.index(b"\xff")
+    rows = readers._read(*source[:5], readers.Options(on_error="skip"), {})
+    assert rows.counts == {"files_skipped": 1} and not rows.rows
