@@ -80,6 +80,41 @@ def prompt(messages: Column) -> Column:
     return F.when(F.size(asked) > 0, F.concat(text, F.lit("\nAssistant:")))
 
 
+def fault(messages) -> str | None:
+    """As problem(), of a value that JSON gave."""
+    if not isinstance(messages, list):
+        return "not_a_list"
+    if not messages:
+        return "empty"
+    if not all(isinstance(m, dict) for m in messages):
+        return "not_an_object"
+    roles = [m.get("role") for m in messages]
+    if not all(isinstance(r, str) for r in roles):
+        return "no_role"
+    if not all(r.strip().lower() in LABELS for r in roles):
+        return "unknown_role"
+    if not all(isinstance(m.get("content"), str) for m in messages):
+        return "no_content"
+    if not all(m["content"].strip() for m in messages):
+        return "empty_content"
+    return None if any(r.strip().lower() == REPLY for r in roles) else "no_assistant"
+
+
+def written_out(messages: list[dict]) -> tuple[str, list[tuple[int, int]]]:
+    """(text, trained spans) of faultless messages, as render() has them; for readers, which have no column yet."""
+    roles = [m["role"].strip().lower() for m in messages]
+    text, spans = "", []
+    for k, (role, m) in enumerate(zip(roles, messages)):
+        turn = role != REPLY and k > 0 and roles[k - 1] == REPLY
+        text += ("\n\n" if turn else "\n" if k else "") + f"{LABELS[role]}: "
+        begin = len(text)
+        text += m["content"]
+        if role == REPLY:
+            after = 0 if k + 1 == len(roles) else 1 if roles[k + 1] == REPLY else 2
+            spans.append((begin, len(text) + after))
+    return text, spans
+
+
 def reply_content(generated: Column, continuing: bool = False) -> Column:
     return F.regexp_replace(generated if continuing else F.regexp_replace(generated, "^ ", ""), r"\n+$", "")
 

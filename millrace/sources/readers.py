@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DatasetDecodeError, DatasetError, DatasetFormatError
+from ..operators import chat
 from ..operators.chunks import cuts
 
 #: Names that a text field or column may have, in order of preference; suffixes; limits; byte order marks.
@@ -45,6 +46,7 @@ NAMED = 20
 class Options:
     encoding: str = "utf-8"
     text_field: str | None = None
+    messages_field: str | None = None
     table: str | None = None
     min_chars: int = 1
     max_chars: int = 16_384
@@ -53,6 +55,8 @@ class Options:
     def __post_init__(self) -> None:
         if self.on_error not in ("fail", "skip"):
             raise ConfigError(f"on_error must be fail or skip, not {self.on_error!r}")
+        if self.text_field and self.messages_field:
+            raise ConfigError("text and messages can't both be read from a record")
         if self.max_chars < 2:
             raise ConfigError("max_chars must be at least 2")
 
@@ -203,9 +207,13 @@ class _Rows:
             raise DatasetFormatError(f"{self.source}: {message}")
         self.count("records_skipped")
 
-    def keep(self, text: str, offset: int) -> None:
+    def keep(self, text: str, offset: int, spans: list | None = None) -> None:
         if len(text.strip()) >= max(1, self.o.min_chars):
-            self.rows.append((self.ordinal, offset, text))
+            self.rows.append((self.ordinal, offset, text, spans))
+            if spans is not None:
+                self.count("chat_documents")
+                self.count("chat_chars", len(text))
+                self.count("chat_trained_chars", sum(hi - lo for lo, hi in spans))
             self.chars += len(text)
             self.ordinal += 1
         else:
@@ -234,6 +242,22 @@ def _value(record, rows: _Rows, state: dict):
     return text if isinstance(text, str) else rows.bad(f"field {state['field']} holds no text")
 
 
+def _record(record, rows: _Rows, state: dict, at: int) -> None:
+    """Keeps the text of a JSON record, or the conversation that it holds."""
+    name = rows.o.messages_field
+    if name is None:
+        value = _value(record, rows, state)
+        if value is not None:
+            rows.keep(value, at)
+    elif not isinstance(record, dict) or name not in record:
+        rows.bad(f"a record has no field {name} with messages")
+    elif why := chat.fault(record[name]):
+        rows.bad(f"messages of a record: {why}")
+    else:
+        text, spans = chat.written_out(record[name])
+        rows.keep(text, at, spans)
+
+
 def _strict(constant: str):
     raise ValueError(constant)
 
@@ -251,9 +275,7 @@ def _jsonl(f, rows: _Rows) -> Iterator[None]:
             except ValueError:
                 rows.bad(f"line {n} is no JSON")
             else:
-                value = _value(record, rows, state)
-                if value is not None:
-                    rows.keep(value, at)
+                _record(record, rows, state, at)
         at += len(line)
         yield
 
@@ -267,7 +289,8 @@ def _json(data: bytes, rows: _Rows) -> None:
         raise DatasetFormatError(f"{rows.source} is no JSON: {e}") from e
     if isinstance(whole, dict):
         arrays = [k for k, v in whole.items() if isinstance(v, list)]
-        key = rows.o.text_field or next((k for k in TEXT_FIELDS if isinstance(whole.get(k), str)), None)
+        key = rows.o.messages_field if rows.o.messages_field in whole else rows.o.text_field or next((k for k in TEXT_FIELDS if isinstance(whole.get(k), str)), None)
+        arrays = [k for k in arrays if k != rows.o.messages_field]
         if key and arrays:
             raise DatasetFormatError(f"{rows.source} has both text and an array")
         if not key and len(arrays) != 1:
@@ -277,9 +300,7 @@ def _json(data: bytes, rows: _Rows) -> None:
         raise DatasetFormatError(f"{rows.source} is neither an array nor an object")
     state: dict = {}
     for record in whole:
-        value = _value(record, rows, state)
-        if value is not None:
-            rows.keep(value, 0)
+        _record(record, rows, state, 0)
 
 
 def column(header: list[str], wanted: str | None, source: str) -> int:
@@ -451,11 +472,14 @@ def _read(relative: str, path: str, member: str | None, kind: str, codec: str |
 #: Documents, and characters of them, after which a task hands on what it has of a source.
 FLUSH_ROWS, FLUSH_CHARS = 4096, 16 << 20
 
-SCHEMA = "source_idx long, source string, kind string, ordinal long, byte_offset long, text string, outcome string, n long"
+SCHEMA = "source_idx long, source string, kind string, ordinal long, byte_offset long, text string, trained_spans array<struct<span_start:int,span_end:int>>, outcome string, n long"
+
+
+COLUMNS = ["source_idx", "source", "kind", "ordinal", "byte_offset", "text", "trained_spans", "outcome", "n"]
 
 
 def read(spark: SparkSession, root: str, options: Options | None = None) -> tuple[DataFrame, DataFrame, Listing]:
-    """(documents, counters, listing). documents: source_idx, source, ordinal, byte_offset, text, in the order of the first
+    """(documents, counters, listing). documents: source_idx, source, ordinal, byte_offset, text, trained_spans, in the order of the first
     two numbers; counters: source, outcome, n. Members of one archive are read by one task."""
     o = options or Options()
     listing = discover(root)
@@ -464,10 +488,11 @@ def read(spark: SparkSession, root: str, options: Options | None = None) -> tupl
     boxes = max(1, len({r[2] for r in rows}))
 
     def handed(r, got: _Rows) -> pd.DataFrame:
-        out = [(r.source_idx, r.source, r.kind, k, at, t, None, None) for k, at, t in got.rows]
-        out += [(r.source_idx, r.source, r.kind, None, None, None, w, n) for w, n in [("documents", len(got.rows)), *got.counts.items()]]
+        spans = lambda s: None if s is None else [{"span_start": lo, "span_end": hi} for lo, hi in s]
+        out = [(r.source_idx, r.source, r.kind, k, at, t, spans(s), None, None) for k, at, t, s in got.rows]
+        out += [(r.source_idx, r.source, r.kind, None, None, None, None, w, n) for w, n in [("documents", len(got.rows)), *got.counts.items()]]
         got.rows, got.counts, got.chars = [], {}, 0
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"ordinal": "Int64", "byte_offset": "Int64", "n": "Int64"})
+        return pd.DataFrame(out, columns=COLUMNS).astype({"ordinal": "Int64", "byte_offset": "Int64", "n": "Int64"})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         containers: dict = {}
@@ -482,5 +507,5 @@ def read(spark: SparkSession, root: str, options: Options | None = None) -> tupl
             c.close()
 
     read_ = frame.repartition(min(boxes, spark.sparkContext.defaultParallelism * 4), "path").mapInPandas(run, SCHEMA)
-    documents = read_.where("outcome is null").select("source_idx", "source", "ordinal", "byte_offset", "text")
+    documents = read_.where("outcome is null").select("source_idx", "source", "ordinal", "byte_offset", "text", "trained_spans")
     return documents, read_.where("outcome is not null").groupBy("source", "outcome").agg(F.sum("n").alias("n")), listing

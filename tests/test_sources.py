@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.errors import DatasetDecodeError, DatasetError, DatasetFormatError, EmptySplitError, VerificationError
+from millrace.operators import chat
 from millrace.sources import readers, shards
 
 DOCX = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>'
@@ -154,3 +155,21 @@ def test_places_of_undecodable_bytes_are_those_of_the_source(tmp_path, name, goo
     assert e.value.details["at"] == data.index(b"\xff")
     rows = readers._read(*source[:5], readers.Options(on_error="skip"), {})
     assert rows.counts == {"files_skipped": 1} and not rows.rows
+
+
+TALKS = [[("user", "a b"), ("Assistant", "c"), ("user", "d"), ("assistant", "e"), ("assistant", "f")], [("system", "s"), ("user", "u"), ("assistant", "r")]]
+
+
+def test_conversations_are_read_as_they_are_rendered(spark, tmp_path):
+    good = [json.dumps({"messages": [{"role": r, "content": c} for r, c in t]}) for t in TALKS]
+    bad = ['{"messages": "x"}', '{"messages": []}', '{"messages": [1]}', '{"messages": [{"content": "x"}]}', '{"messages": [{"role": "tool", "content": "x"}]}', '{"messages": [{"role": "user"}]}', '{"messages": [{"role": "user", "content": " "}]}', '{"messages": [{"role": "user", "content": "x"}]}', '{"text": "x"}', '"x"']
+    (tmp_path / "a.jsonl").write_text("\n".join([good[0], *bad, good[1]]))
+    d, counters, _ = readers.read(spark, str(tmp_path), readers.Options(messages_field="messages", on_error="skip"))
+    got = [(r["ordinal"], r["text"], [tuple(x) for x in r["trained_spans"]]) for r in d.orderBy("ordinal").collect()]
+    talks = spark.createDataFrame([(i, t) for i, t in enumerate(TALKS)], "i long, messages array<struct<role:string,content:string>>")
+    want = [(r["i"], r["rendered"], [tuple(x) for x in r["spans"]]) for r in chat.render(talks).orderBy("i").collect()]
+    assert got == want
+    n = {r["outcome"]: r["n"] for r in counters.collect()}
+    assert n["records_skipped"] == len(bad) and n["chat_documents"] == 2 and n["chat_trained_chars"] == sum(hi - lo for _, _, s in want for lo, hi in s)
+    with pytest.raises(DatasetFormatError):
+        readers._read(*readers.discover(str(tmp_path)).sources[0][:5], readers.Options(messages_field="messages"), {})
