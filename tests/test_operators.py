@@ -98,9 +98,9 @@ def test_split_is_strict_and_the_same_for_any_partitioning(spark):
 def test_exclusive_sums_in_two_levels(spark):
     n = np.random.default_rng(1).integers(0, 9, 500)
     d = spark.createDataFrame([(int(i), int(v), "ab"[i % 2]) for i, v in enumerate(n)], "i long, v long, g string").repartition(5)
-    got = {r["i"]: r["s"] for r in prefix.exclusive_sums(d, "i", {"s": "v"}, buckets=7).collect()}
+    got = {r["i"]: r["s"] for r in prefix.exclusive_sums(d, "i", {"s": "v"}).collect()}
     assert got == {i: int(n[:i].sum()) for i in range(500)}
-    got = {r["i"]: r["s"] for r in prefix.exclusive_sums(d, "i", {"s": "v"}, ("g",), buckets=7).collect()}
+    got = {r["i"]: r["s"] for r in prefix.exclusive_sums(d, "i", {"s": "v"}, ("g",)).collect()}
     assert got == {i: int(n[i % 2 : i : 2].sum()) for i in range(500)}
 
 
@@ -204,3 +204,12 @@ def test_history_is_fitted_by_whole_messages(spark):
     more = d.select(reports.extended(reports.remembered(F.col("m"), F.lit("q"), F.lit("a")), F.lit("!")).alias("m"), reports.remembered(F.col("m"), F.lit("q"), F.lit(" ")).alias("n")).first()
     assert [tuple(x) for x in more["m"]][-2:] == [("user", "q"), ("assistant", "a!")] and len(more["n"]) == 5
     assert spark.range(1).select(chat.reply_content(F.lit(" said so\n\n"))).first()[0] == "said so"
+
+
+def test_prefix_sums_with_an_id_far_from_the_others(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "ROWS", 5)
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.randint(0, 9)) for i in [*rng.sample(range(1000), 300), 10**15]]
+    df = spark.createDataFrame(rows, "i long, g string, n long").repartition(4)
+    got = {r["i"]: r["before"] for r in prefix.exclusive_sums(df, "i", {"before": "n"}, ("g",)).collect()}
+    assert got == {i: sum(m for j, h, m in rows if h == g and j < i) for i, g, n in rows}
