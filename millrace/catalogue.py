@@ -148,7 +148,8 @@ def document_locations(s, d):
 @_query
 def emitted_ordinals(s, d):
     k = _docs(s, d).where("text is not null and source is not null").where(F.length(text.strip(F.col("text"))) >= 20)
-    return k.select("doc_id", "source", (F.row_number().over(W.partitionBy("source").orderBy("ordinal", "doc_id")) - 1).alias("kept_ordinal"))
+    k = k.select("doc_id", "source", "ordinal", F.lit(1).alias("one"))
+    return prefix.exclusive_sums(k, "ordinal", {"kept_ordinal": "one"}, ("source",), ("doc_id",)).select("doc_id", "source", F.col("kept_ordinal").cast("int").alias("kept_ordinal"))
 
 
 @_query

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 ROWS, FEW, BUCKETS = 250_000, 16, 4096
 
 
-def exclusive_sums(df: DataFrame, order: str, values: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+def exclusive_sums(df: DataFrame, order: str, values: dict[str, str], by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """df with, for each output: column of values, the sum over the rows before it in the given order (of its group).
 
     Rows fall into buckets of the order column (a number), by equal parts of its range; in large tables a bucket with many
     rows is parted once more by its own range, so that a few ids far from the others leave no bucket large. A window over
     the few sums of buckets gives where each begins, a window within each bucket the rest. Rows of equal order are taken
-    in any order but one. Null values count as 0, rows with null order come first.
+    in that of the columns in ties. Null values count as 0, rows with null order come first.
     """
     low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // min(BUCKETS, max(FEW, n // ROWS))))
@@ -32,7 +32,7 @@ def exclusive_sums(df: DataFrame, order: str, values: dict[str, str], by: tuple[
     per = keyed.groupBy(*by, "_b", "_c").agg(*(F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"_s_{o}") for o, c in values.items()))
     w = W.partitionBy(*by).orderBy("_b", "_c").rowsBetween(W.unboundedPreceding, -1)
     starts = per.select(*by, "_b", "_c", *(F.coalesce(F.sum(f"_s_{o}").over(w), F.lit(0)).alias(f"_a_{o}") for o in values))
-    inner = W.partitionBy(*by, "_b", "_c").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy(*by, "_b", "_c").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
     out = keyed.join(starts, [*by, "_b", "_c"])
     for o, c in values.items():
         out = out.withColumn(o, F.col(f"_a_{o}") + F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))).over(inner), F.lit(0)))
