@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import formats, parse
 from .operators import chat, profile, reports, rules, runlog, split, windows
+from .plans import planning
 from .sources import readers, shards
 
 SEED, VAL_FRACTION, SEQ_LEN = 1234, 0.05, 256
@@ -374,3 +375,19 @@ def export_check(s, d):
 def cuttable_kinds(s, d):
     g = _t(s, d, "source_files").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))  # six kinds
     return g.select("kinds", F.array_intersect("kinds", F.array(F.lit("text"), F.lit("docx"))).alias("cuttable"))
+
+
+@_query("""WITH s AS (SELECT unnest(range(0, 200)) AS step)
+    SELECT 'linear' AS kind, step, round(CASE WHEN step < 20 THEN 0.001 * (step + 1) / 20 ELSE 0.0001 + 0.0009 * (1 - (step - 20) / 180) END, 12)::DOUBLE AS lr FROM s
+    UNION ALL SELECT 'constant', step, round(CASE WHEN step < 20 THEN 0.001 * (step + 1) / 20 ELSE 0.001 END, 12)::DOUBLE FROM s""")
+def lr_kinds(s, d):
+    each = [planning.schedule(s, 200, 1e-3, 20, 1e-4, kind).select(F.lit(kind).alias("kind"), "step", F.round("lr", 12).alias("lr")) for kind in ("linear", "constant")]
+    return each[0].unionByName(each[1])
+
+
+@_query("""WITH m AS (SELECT content_hash, max(splits['train'].tokens) AS t, max(vocab_size) % 64 + 1 AS b FROM manifests GROUP BY 1)
+    SELECT content_hash, greatest(50, least(20000, floor(3.0 * greatest(1, t) / (b * 256))))::BIGINT AS steps FROM m WHERE t IS NOT NULL""")
+def default_steps(s, d):
+    """Steps of a run that names none: three epochs, within bounds."""
+    m = _t(s, d, "manifests").groupBy("content_hash").agg(F.max(F.element_at("splits", "train")["tokens"]).alias("t"), (F.max("vocab_size") % 64 + 1).alias("b")).where("t is not null")
+    return m.select("content_hash", planning.default_steps(F.col("t"), F.col("b") * 256).alias("steps"))

@@ -21,13 +21,18 @@ def count(n: Column) -> Column:
 
 
 def size(n: Column) -> Column:
-    """Bytes in binary units."""
-    n = n.cast("double")
+    """Bytes in binary units; below zero as above, with a sign."""
+    sign, n = F.when(n < 0, "-").otherwise(""), F.abs(n.cast("double"))
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
         v = n / 1024.0**k
         out = F.when(n >= 1024.0**k, F.concat(_digits(v, v), F.lit(f" {unit}"))).otherwise(out)
-    return out
+    return F.concat(sign, out)
+
+
+def whole(n: Column) -> Column:
+    """To the nearest whole number (halves to the even one), with commas."""
+    return F.format_number(F.rint(n.cast("double")), 0)
 
 
 def parameters(n: Column) -> Column:

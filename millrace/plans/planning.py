@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 PRESETS = (("tiny", 4, 4, 256, 256), ("small", 6, 6, 384, 512), ("medium", 8, 8, 512, 512), ("large", 12, 12, 768, 1024))
 MIN_STEPS, MAX_STEPS, TRAIN_MAX_STEPS = 50, 100_000, 20_000
 EPOCHS_BEFORE_MEMORISING, TOKENS_PER_PARAMETER, LOW_TOKENS_PER_PARAMETER = 4.0, 20.0, 5.0
+DEFAULT_EPOCHS = 3.0
 PERSISTENT_BYTES, ACTIVATION_SLOTS = 16, 12
 SKIP_MULTIPLE, COLLAPSE = 4.0, 0.35
 
@@ -61,6 +62,12 @@ def derived_steps(train_tokens: Column, params: Column, tokens_per_step: Column)
     return F.greatest(F.lit(MIN_STEPS), F.least(F.lit(MAX_STEPS), F.floor(least / tokens_per_step))).cast("long")
 
 
+def default_steps(train_tokens: Column, tokens_per_step: Column) -> Column:
+    """Steps of a run that names none: DEFAULT_EPOCHS over the training tokens, within bounds."""
+    steps = F.floor(DEFAULT_EPOCHS * F.greatest(F.lit(1), train_tokens) / tokens_per_step)
+    return F.greatest(F.lit(MIN_STEPS), F.least(F.lit(TRAIN_MAX_STEPS), steps)).cast("long")
+
+
 def windows(tokens: Column, seq_len: Column | int) -> Column:
     """How many windows of seq_len + 1 tokens fit, one window's length kept for the shift of epochs."""
     return F.greatest(F.lit(0).cast("long"), F.floor((tokens - seq_len) / (F.lit(0) + seq_len + 1)).cast("long"))

@@ -206,6 +206,12 @@ def test_history_is_fitted_by_whole_messages(spark):
     assert spark.range(1).select(chat.reply_content(F.lit(" said so\n\n"))).first()[0] == "said so"
 
 
+def test_quantities_below_zero_and_whole(spark):
+    d = spark.createDataFrame([(-3072.0,), (-5.0,), (2.5,), (1234567.5,)], "n double")
+    got = [tuple(r) for r in d.select(formats.size(F.col("n")), formats.whole(F.col("n"))).collect()]
+    assert got == [("-3.00 KiB", "-3,072"), ("-5 B", "-5"), ("2 B", "2"), ("1.18 MiB", "1,234,568")]
+
+
 def test_prefix_sums_with_an_id_far_from_the_others(spark, monkeypatch):
     monkeypatch.setattr(prefix, "ROWS", 5)
     rng = random.Random(4)
