@@ -159,6 +159,23 @@ def test_documents_of_a_template(spark):
     assert len({tuple(r) for r in near.pairs(docs(spark, texts)).collect()} & want) >= 0.99 * len(want) and len(want) == 780
 
 
+def test_unlike_texts_of_a_template_are_not_compared_whole(spark, monkeypatch):
+    rng = random.Random(12)
+    common = sentence(rng, 80)
+    texts = [f"{common} {sentence(rng, 120)}" for _ in range(200)]  # similarity 0.24: 19,900 pairs, all below 0.6
+    seen = []
+    verified = near.verified
+    monkeypatch.setattr(near, "verified", lambda d, c, pairs, *more: seen.append(pairs.count()) or verified(d, c, pairs, *more))
+    assert near.pairs(docs(spark, texts)).count() == 0 and 0.15 < jaccard(texts[0], texts[1]) < 0.3
+    assert seen[0] < 20  # 4 % of them before
+
+
+def test_tables_that_nothing_reads_are_removed(spark, variants):
+    before = len(common._paths)
+    near.candidates(docs(spark, variants), np.zeros(near.SKETCH, np.uint8), plain=0.6)
+    assert len(common._paths) == before + 1
+
+
 def test_plain_samples_estimate_plain_similarity():
     h = np.sort(np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64))
     x, y = (near.plain_samples(s, np.array([0]))[0] for s in (h[:3000], h[1000:]))
