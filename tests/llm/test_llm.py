@@ -176,6 +176,26 @@ def test_tables_that_nothing_reads_are_removed(spark, variants):
     assert len(common._paths) == before + 1
 
 
+def test_pairs_come_from_weighted_samples(spark, monkeypatch, variants):
+    seen = []
+    candidates = near.candidates
+    monkeypatch.setattr(near, "candidates", lambda d, levels, *more: seen.append(levels) or candidates(d, levels, *more))
+    near.pairs(docs(spark, variants))
+    assert len(np.unique(seen[0])) > 1  # frequent and rare shingles have different weights
+
+
+def test_damped_weights_keep_plain_similarity():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    a, b = (np.sort(s) for s in (h[:4000], h[1000:]))  # plain similarity 0.6
+    for common, own in ((0, near.LEVELS - 1), (near.LEVELS - 1, 0)):
+        lev = lambda s: np.where(np.isin(s, h[1000:4000]), common, own)  # noqa: B023,E731
+        x, y = (near.samples(s, np.array([0]), lev(s), damped=True)[0] for s in (a, b))
+        assert len(x) == near.PLAIN_BANDS * near.ROWS and abs((x == y).mean() - 0.6) < 0.17
+    bound = near.SIMILARITY / (near.SIMILARITY + near.RANGE * (1 - near.SIMILARITY))
+    assert 1 - (1 - bound**near.ROWS) ** near.PLAIN_BANDS > 0.9996
+
+
 def test_plain_samples_estimate_plain_similarity():
     h = np.sort(np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64))
     x, y = (near.plain_samples(s, np.array([0]))[0] for s in (h[:3000], h[1000:]))
