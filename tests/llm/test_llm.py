@@ -281,6 +281,31 @@ def test_a_record_inside_another_and_one_spread_over_two(spark):
     assert per[0] == 1.0 and per[2] > 0.9 and 5 not in per and per[1] == pytest.approx(300 / 2000)
 
 
+def test_every_shared_span_of_20_words_counts_wherever_it_lies(spark):
+    rng = random.Random(5)
+    texts, val = [], {}
+    for k in range(40):  # pairs of 38 words that share 20 of them, at any place of either, and nothing else
+        common = sentence(rng, 20)[:-1].lower()
+        for side in (0.0, 0.5):
+            n = rng.randint(0, 18)
+            val[len(texts)] = side
+            texts.append(f"{sentence(rng, n)[:-1].lower() if n else ''} {common} {sentence(rng, 18 - n)[:-1].lower() if n < 18 else ''}".strip())
+    s = spark.createDataFrame([("h", i, f) for i, f in val.items()], "content_hash string, doc_id long, fraction double")
+    found = overlap.find(docs(spark, texts), s, spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double"))
+    rows = {(r["val_id"], r["train_id"]): r["val_coverage"] for r in overlap.overlaps(found).collect()}
+    assert set(rows) == {(i, i + 1) for i in range(0, 80, 2)} and set(rows.values()) == {20 / 38}
+    assert {r["coverage"] for r in overlap.records(found).collect()} == {20 / 38} and overlap.records(found).count() == 80
+
+
+def test_a_passage_that_several_have_names_all_of_them(spark):
+    rng = random.Random(6)
+    common = sentence(rng, 40)[:-1]
+    texts = [f"{common} {sentence(rng, 20)}", *(f"{sentence(rng, 100)} {common} {sentence(rng, 100)}" for _ in range(4))]
+    s = spark.createDataFrame([("h", i, 0.5 if i else 0.0) for i in range(5)], "content_hash string, doc_id long, fraction double")
+    found = overlap.find(docs(spark, texts), s, spark.createDataFrame([("h", 0.1)], "content_hash string, val_fraction double"))
+    assert {(r["val_id"], r["train_id"]) for r in overlap.overlaps(found).collect()} == {(0, i) for i in range(1, 5)}
+
+
 def test_every_long_shared_span_has_a_chosen_suffix():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 500).astype(np.uint64)
